@@ -55,6 +55,13 @@ def arrow_map(df: DataFrame, f, schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 
 
+def unused(names: list[str], name: str) -> str:
+    """``name``, or with underscores after it, so that no column (in any case) has it."""
+    while name.lower() in {n.lower() for n in names}:
+        name += "_"
+    return name
+
+
 def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(n).to_pylist() for n in names]
 

@@ -4,12 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, prefix_tokens, sharding, token_files
+from . import decontaminate, fingerprints, language_id, lm_score, packing, prefix_tokens, secrets, sharding, simhash, token_files
 from .frames import shared_folder, table
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Whether the language models may not learn from a document."""
+    return F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 3 == 1
+
+
+def op1_em_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~held_out()))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.array_join("languages", ",").alias("languages"))
+
+
 def op2_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tokens.token_counts(table(spark, sf_dir, "documents"))
 
@@ -22,12 +35,34 @@ def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op5_canonical_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edits(table(spark, sf_dir, "documents"))
+
+
+def op6_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tokens.orc"
     token_files.write_token_files(table(spark, sf_dir, "documents"), path)
     return token_files.positions(spark, path)
 
 
+def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example")
+
+
+def op9_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return lm_score.score(table(spark, sf_dir, "documents"), good.select("doc_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
