@@ -64,8 +64,7 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     power, width = codes.astype(np.uint64), 1
     total, done = None, 0
-    base = np.uint64(_BASE)
-    factor = base
+    factor = np.array([_BASE], np.uint64)
     while True:
         if q & width:
             part = power[done : done + n]

@@ -197,11 +197,12 @@ def redact(docs: DataFrame) -> DataFrame:
     live = _classified(written(scanned, "scanned"))
     live = live.select(F.col("row").alias(row), F.filter(F.concat(F.filter("spans", lambda s: s["rank"] < KINDS.index(COPY)), _added(F.col("spans"))), lambda s: s["class"] == "live").alias(row + "spans"))
     joined = marked.join(live.where(F.size(row + "spans") > 0), row, "left")
-    text = F.when(F.col(row + "spans").isNotNull(), _masked(F.col("`text`"), F.array_sort(row + "spans"))).otherwise(F.col("`text`"))
-    changed = {"text": text}
+    hit = F.col(row + "spans").isNotNull()
+    masked = joined.withColumn(row + "text", _masked(F.col("text"), F.array_sort(row + "spans")))
+    changed = {"text": F.when(hit, F.col(row + "text")).otherwise(F.col("text"))}
     if "n_chars" in names:
-        changed["n_chars"] = F.when(F.col(row + "spans").isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    out = joined.select(*[changed.get(n, F.col(f"`{n}`")).alias(n) for n in names])
+        changed["n_chars"] = F.when(hit, F.length(row + "text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    out = masked.select(*[changed.get(n, F.col(f"`{n}`")).alias(n) for n in names])
     return docs.where(~some).unionByName(out)
 
 

@@ -1,0 +1,90 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+
+from quire.llm import decontaminate, queries
+from quire.llm.frames import table
+
+
+def _edit_distance_in(pattern, text):
+    """Least edits between the pattern and any part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        before, row = row, [i]
+        for j, t in enumerate(text, 1):
+            row.append(min(before[j - 1] + (p != t), before[j] + 1, row[j - 1] + 1))
+    return min(row)
+
+
+def _folded(s):
+    return decontaminate.folded(s)[0]
+
+
+def test_planted_passages(spark, small):
+    items = {r.item_id: r.text for r in table(spark, small, "benchmark").collect()}
+    docs = {r.doc_id: r.text for r in table(spark, small, "documents").collect()}
+    planted = {(d, i) for d, t in docs.items() for i, x in items.items() if x in t}
+    found = {(r.doc_id, r.item_id): r for r in queries.op9_qgram_decontamination(spark, small).collect()}
+    assert planted and planted <= set(found)
+    for (d, i), r in found.items():
+        part = docs[d][r.start : r.end]
+        assert r.edits <= 9 and _edit_distance_in(_folded(items[i])[:96].tolist(), _folded(part).tolist()) <= 40
+
+
+def test_against_brute_force():
+    rng = random.Random(4)
+    letters = "abcdefghij "
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    items = [(i, "x" + word(rng.randint(30, 95)) + "x") for i in range(6)]
+    index = decontaminate.Index(items)
+    for _ in range(60):
+        item, text = rng.choice(items)
+        edited = list(text)
+        for _ in range(rng.randint(0, 14)):
+            at = rng.randrange(len(edited))
+            edited[at : at + 1] = rng.choice([[], [rng.choice(letters)], [edited[at], rng.choice(letters)]])
+        document = _folded(word(rng.randint(0, 300)) + "".join(edited) + word(rng.randint(0, 300)))
+        found = {}
+        for i, start, end, edits in index.regions(document):
+            found[i] = min(edits, found.get(i, 99))
+        for region in index.windows:
+            best = _edit_distance_in(region.codes.tolist(), document.tolist())
+            assert (best <= region.edits) == (region.item in found), (best, region.edits)
+            if region.item in found:
+                assert found[region.item] == best
+        assert item is not None
+
+
+def test_edited_cased_and_split(spark):
+    text = "Which of the following planets, in order, has the largest number of known moons orbiting it today and why?"
+    rows = [
+        (1, "intro " + text.upper() + " outro"),
+        (2, "a\n" + text.replace(" ", "\n\t ").replace("planets", "plnets") + "!"),
+        (3, text.replace("largest number", "smallest count").replace("planets", "continents").replace("moons", "rivers")),
+        (4, None), (5, ""), (None, text), (6, "x " * 400_000 + text), (6, "x"), (7, "!?." * 10),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(0, text), (1, None), (2, "?!"), (3, "short one"), (4, "")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert set(found) == {(1, 0), (2, 0), (None, 0), (6, 0)}
+    assert (found[1, 0].start, found[1, 0].end) == (6, 5 + len(text)) and found[2, 0].edits <= 1
+    assert {r.doc_id for r in decontaminate.keep_clean(docs, benchmark).collect()} == {3, 4, 5, 6, 7}
+    assert decontaminate.contaminated(docs, benchmark.where("false")).count() == 0
+    assert decontaminate.contaminated(docs.where("false"), benchmark).count() == 0
+    assert decontaminate.keep_clean(docs, benchmark.where("false")).count() == len(rows)
+    several = list(decontaminate.passes(benchmark, 100))
+    assert [len(p) for p in several] == [1, 3]
+
+
+def test_keeps_all_columns(odd, spark):
+    benchmark = spark.createDataFrame([(0, "the quick brown fox jumps over the lazy dog")], "item_id long, text string")
+    out = decontaminate.keep_clean(odd, benchmark)
+    assert out.columns == odd.columns and {r.doc_id for r in out.collect()} == {None, 2, 3, 4, 5, 7, 8, 11}
+
+
+def test_alignment():
+    a, b = (np.array(list(map(ord, s)), np.uint32) for s in ("kitten", "xxsittingxx"))
+    assert decontaminate.aligned(a, b, -6, 20, 3)[2] == 2
+    assert decontaminate.aligned(a, b, -6, 20, 1) is None

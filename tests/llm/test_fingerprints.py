@@ -1,0 +1,65 @@
+from __future__ import annotations
+
+import hashlib
+
+
+from quire.llm import fingerprints, queries
+from quire.llm.frames import table
+
+
+def _expected(rows):
+    """doc_id, n_chars and edited hash by brute force; rows sorted by (doc_id, text), null ids first."""
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    out = []
+    for n, (doc_id, text) in enumerate(rows):
+        following = rows[(n + 1) % len(rows)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        same = lambda a, b: float(fingerprints.canonical(a) == fingerprints.canonical(b))
+        out.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), same(text, edited), same(text, following), text))
+    return out
+
+
+def _compare(found, rows):
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    expected = _expected(rows)
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in found), key=key) == sorted((x[:5] for x in expected), key=key)
+    forms = {}
+    by_text = {(x[0], x[2]): fingerprints.canonical(x[5]) for x in expected}
+    for r in found:
+        assert forms.setdefault(r.fingerprint, by_text[r.doc_id, r.edited_sha256]) == by_text[r.doc_id, r.edited_sha256]
+    assert len(forms) == len(set(by_text.values()))
+
+
+def test_all_documents(spark, small):
+    rows = [(r.doc_id, r.text) for r in table(spark, small, "documents").collect()]
+    _compare(queries.op5_canonical_digests(spark, small).collect(), rows)
+
+
+def test_ranges_meet(spark, small):
+    docs = table(spark, small, "documents").repartition(7)
+    _compare(fingerprints.edits(docs).collect(), [(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_odd_rows(spark, odd, empty):
+    from .conftest import ROWS, SCHEMA
+
+    _compare(fingerprints.edits(odd).collect(), [r[:2] for r in ROWS])
+    assert fingerprints.edits(empty).count() == 0
+    one = fingerprints.edits(spark.createDataFrame(ROWS[3:4], SCHEMA)).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
+    found = {r.doc_id: r for r in fingerprints.fingerprints(odd).collect()}
+    assert found[9].fingerprint == found[1].fingerprint and found[9].copies == 3
+    assert found[3].fingerprint == found[5].fingerprint and not found[3].collided
+    assert fingerprints.fingerprints(empty).count() == 0
+
+
+def test_canonical():
+    assert fingerprints.canonical("  ﬁ\tSTRASSE\n") == fingerprints.canonical("FI straße")
+    assert fingerprints.canonical("é") == fingerprints.canonical("É")
+
+
+def test_equal_digests_with_different_bytes(spark):
+    rows = [("d", b"a"), ("d", b"a"), ("d", b"b"), ("e", b"c"), ("e", b"c")]
+    found = fingerprints.verified(spark.createDataFrame(rows, "digest string, packed binary")).orderBy("packed").collect()
+    assert [(bytes(r.packed), r.fingerprint) for r in found] == [(b"a", "d"), (b"b", "d-1")]

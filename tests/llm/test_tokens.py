@@ -1,0 +1,140 @@
+"""Prefix counts, packing and token files against the library itself."""
+
+from __future__ import annotations
+
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from quire.llm import differencing, packing, prefix_tokens, queries, token_files, tokens
+from quire.llm.frames import shared_folder, table
+
+ALPHABET = ["a", "the", "ing", " ", "  ", "\n", " \n", "\t", "'", "'s", "'ll", "1", "!", "<|endoftext|>", "<|endo", "é", "日本", "́", "\x1c", "\xa0", " ", "🎉", "\x85", "​", "Σ", "İ", "don't", "==", "\r\n", "K"]
+
+
+@pytest.fixture(scope="module")
+def byte_library():
+    return Tokenizer.from_file(tokens.vocabulary(tokens.BYTE_VOCABULARY))
+
+
+@pytest.fixture(scope="module")
+def word_library():
+    return Tokenizer.from_file(tokens.vocabulary(tokens.WORD_VOCABULARY))
+
+
+def _texts(n, seed=3):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 20))) for _ in range(n)]
+
+
+def test_ids_equal_the_librarys(byte_library, word_library):
+    by_byte, by_word = tokens.ByteIds(), tokens.WordIds()
+    for t in _texts(1500):
+        assert np.frombuffer(by_byte(t), np.uint32).tolist() == byte_library.encode(t, add_special_tokens=False).ids, t
+        assert np.frombuffer(by_word(t), np.uint32).tolist() == word_library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_counts_at_every_prefix(byte_library):
+    deltas = prefix_tokens.PrefixDeltas()
+    for t in _texts(250, 4):
+        expected = [len(byte_library.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
+        assert prefix_tokens.counts_of(deltas(t)).tolist() == expected, t
+
+
+def test_prefix_queries_on_odd_rows(odd, empty, byte_library, rows_of):
+    from .conftest import ROWS
+
+    found = {(r.doc_id, r.n_bytes): r for r in prefix_tokens.token_counts(odd, 4).collect()}
+    for doc_id, text, *_ in ROWS:
+        r = found[doc_id, len((text or "").encode())]
+        count = lambda s: len(byte_library.encode(s, add_special_tokens=False).ids)
+        assert r.n_tokens == count(text or "") and r.over_limit == (r.n_tokens > 4)
+        if len(text or "") < 200:
+            assert r.fit_chars == max(i for i in range(len(text or "") + 1) if count((text or "")[:i]) <= 4)
+    assert rows_of(prefix_tokens.token_counts(empty)) == []
+    cut = prefix_tokens.truncations(prefix_tokens.prefix_table(odd), [0, 4, 10**6])
+    assert cut.count() == 3 * len(ROWS) and cut.where("n_tokens > budget").count() == 0
+    assert prefix_tokens.truncations(prefix_tokens.prefix_table(empty), [1]).count() == 0
+
+
+def test_token_counts_of_all_documents(spark, small, byte_library):
+    texts = {r.doc_id: r.text for r in table(spark, small, "documents").collect()}
+    got = queries.op2_prefix_token_counts(spark, small).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        n = len(byte_library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_tokens, r.over_limit, r.n_bytes) == (n, n > 1024, len(texts[r.doc_id].encode()))
+
+
+def _check_packing(found, ids_by_doc, capacity):
+    sequences, documents = defaultdict(list), defaultdict(list)
+    for r in found:
+        sequences[r.sequence_id].append((r.offset, r.length))
+        documents[r.doc_id].append(r)
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at and length > 0
+            at += length
+        assert at <= capacity
+    for doc_id, ids in ids_by_doc.items():
+        at = 0
+        for r in sorted(documents[doc_id], key=lambda r: r.start):
+            part = np.array(ids[r.start : r.start + r.length], "<u4").tobytes()
+            assert r.start == at and r.ids_crc32 == zlib.crc32(part) and r.doc_tokens == len(ids)
+            at += r.length
+        assert at == len(ids)
+    return sum(2 ** 11 - sum(n for _, n in p) for p in sequences.values()), len(sequences)
+
+
+def test_packing_of_all_documents(spark, small, byte_library):
+    ids = {r.doc_id: [*byte_library.encode(r.text, add_special_tokens=False).ids, 1] for r in table(spark, small, "documents").collect()}
+    padding, n = _check_packing(queries.op3_differencing_packing(spark, small).collect(), ids, 2048)
+    assert padding <= 0.01 * n * 2048 + 2048
+
+
+def test_packing_of_odd_rows(odd, empty):
+    found = packing.pack(odd, capacity=64, block=4).collect()
+    assert {r.doc_id for r in found} == {None, 1, 2, 3, 4, 5, 7, 8, 9, 11}
+    assert [(r.length, r.doc_tokens) for r in found if r.doc_id in (3, 5)] == [(1, 1), (1, 1)]
+    assert sum(r.length for r in found if r.doc_id == 9) == 2 * next(r.doc_tokens for r in found if r.doc_id == 9)
+    assert packing.pack(empty).count() == 0
+
+
+def test_differencing():
+    assert [s for s, _ in differencing.difference([8, 7, 6, 5, 4], 2)] == [14, 16]
+    assert differencing.difference([], 2) == [(0, []), (0, [])]
+    rng = random.Random(1)
+    for _ in range(200):
+        sizes = [rng.randint(1, 50) for _ in range(rng.randint(1, 40))]
+        k = rng.randint(1, 8)
+        found = differencing.difference(sizes, k)
+        assert len(found) == k and sorted(i for _, m in found for i in m) == list(range(len(sizes)))
+        assert all(s == sum(sizes[i] for i in m) for s, m in found)
+        packed = differencing.windows(sizes, 50)
+        assert max(s for s, _ in packed) <= 50 and sorted(i for _, m in packed for i in m) == list(range(len(sizes)))
+
+
+def test_token_files_round_trip(spark, small, odd, empty, word_library, tmp_path):
+    rows = sorted((r.doc_id, r.text) for r in table(spark, small, "documents").collect())
+    got = {r.doc_id: r for r in queries.op7_orc_token_files(spark, small).collect()}
+    before = 0
+    for doc_id, text in rows:
+        ids = [*word_library.encode(text, add_special_tokens=False).ids, 1]
+        r = got[doc_id]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (before, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        before += len(ids)
+    path = f"{shared_folder(spark)}/files"
+    token_files.write_token_files(odd, path, files=3)
+    assert token_files.positions(spark, path).count() == 11
+    assert token_files.positions(spark, path).agg({"start": "max"}).collect()[0][0] > 0
+    again = token_files.read_documents(spark, path, [4])
+    assert [r.ids[-1] for r in again.collect()] == [1]
+    assert "PushedFilters: [In(doc_id" in again._jdf.queryExecution().toString() or "PushedFilters: [IsNotNull(doc_id)" in again._jdf.queryExecution().toString()
+    path = f"{shared_folder(spark)}/none"
+    token_files.write_token_files(empty, path, files=2)
+    assert token_files.positions(spark, path).count() == 0
