@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pages
+from . import events, fields, pages, relational, text
 
-_MODULES = [pages]
+_MODULES = [pages, text, fields, relational, events]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
