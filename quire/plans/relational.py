@@ -14,7 +14,7 @@ _long = lambda c: F.col(c).cast("long")
 
 def filtered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").where((F.col("l_quantity") < 10) & (F.col("l_returnflag") == "R"))
-    return rows.select("l_orderkey", "l_partkey", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).alias("net"))
+    return rows.select("l_orderkey", "l_partkey", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 6).alias("net"))
 
 
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +209,7 @@ def orders_above_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "filtered_lines": (filtered_lines, "SELECT l_orderkey, l_partkey, round(l_extendedprice * (1 - l_discount), 2) AS net FROM lineitem WHERE l_quantity < 10 AND l_returnflag = 'R'"),
+    "filtered_lines": (filtered_lines, "SELECT l_orderkey, l_partkey, round(l_extendedprice * (1 - l_discount), 6) AS net FROM lineitem WHERE l_quantity < 10 AND l_returnflag = 'R'"),
     "pricing_summary": (pricing_summary, "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_net, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2"),
     "region_revenue": (region_revenue, "SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2"),
     "outer_joins": (outer_joins, "SELECT CASE WHEN l_orderkey IS NULL THEN 'left' WHEN o_orderkey IS NULL THEN 'right' ELSE 'both' END AS side, count(*) AS n FROM (SELECT o_orderkey FROM orders WHERE o_totalprice > 200000) FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'A') ON o_orderkey = l_orderkey GROUP BY 1"),
