@@ -24,6 +24,8 @@ SHORTEST = 24
 PASS_CHARACTERS = 4_000_000
 #: Document characters that are scanned at once.
 AT_ONCE = 500_000
+#: Pairs of equal q-grams that are put in bands at once.
+PAIRS_AT_ONCE = 2_000_000
 
 _BASE = 0x9E3779B97F4A7C15
 _FILTER_BITS = 22
@@ -77,6 +79,11 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
         width *= 2
 
 
+def _distinct(a: np.ndarray) -> np.ndarray:
+    a.sort()
+    return a[np.flatnonzero(np.diff(a, prepend=-1))]
+
+
 @dataclass
 class Region:
     item: int
@@ -107,6 +114,7 @@ class Index:
                 edits = min(int(budget * len(part)), (len(part) - q) // q)
                 self.windows.append(Region(item, s, part, edits, len(part) + 1 - q - q * edits))
         self.gap = max([w.edits for w in self.windows], default=0)
+        self.width = 2 * (self.gap + 1)
         hashes = [_grams(w.codes, q) for w in self.windows]
         grams = np.concatenate([np.zeros(0, np.uint64), *hashes])
         order = np.argsort(grams, kind="stable")
@@ -130,26 +138,37 @@ class Index:
         high = np.searchsorted(self.grams, grams[some], "right")
         n = high - low
         some, low, n = some[n > 0], low[n > 0], n[n > 0]
-        if not len(some):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        place = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        diagonal = np.repeat(some, n) - self.at[place] + WINDOW
-        owner = self.owner[place]
-        width = self.gap + 1
-        band = diagonal // width
-        both = (diagonal % width <= self.gap) & (band > 0) & (self.gap > 0)
-        key = np.concatenate([owner * np.int64(1 << 40) + band, owner[both] * np.int64(1 << 40) + band[both] - 1])
-        found, count = np.unique(key, return_counts=True)
-        windows, bands = found >> 40, found & ((1 << 40) - 1)
+        ends = np.cumsum(n)
+        cells = [np.zeros(0, np.int64)]
+        done = 0
+        while done < len(some):  # so many pairs at once as bound the memory
+            to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS_AT_ONCE)))
+            cells.append(self._cells(some[done:to], low[done:to], n[done:to]))
+            done = to
+        cells = cells[1] if len(cells) == 2 else _distinct(np.concatenate(cells))
+        first = np.flatnonzero(np.diff(cells >> 7, prepend=-1))
+        count = np.diff(first, append=len(cells))
+        windows, bands = cells[first] >> 31, (cells[first] >> 7) & ((1 << 24) - 1)
         kept = count >= self.least[windows]
-        return windows[kept], bands[kept] * width - WINDOW
+        return windows[kept], bands[kept] * self.width - WINDOW
+
+    def _cells(self, some: np.ndarray, low: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Window, band and place in the window of each shared q-gram, in one number, each once: however
+        often a text repeats a q-gram, it preserves one place of the window."""
+        place = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        diagonal = np.repeat(some, n) - self.at[place] + WINDOW
+        band = diagonal // self.width
+        cell = (self.owner[place] << 31) | (band << 7) | self.at[place]
+        before = (diagonal - band * self.width < self.gap) & (band > 0)
+        return _distinct(np.concatenate([cell, cell[before] - (1 << 7)]))
 
     def regions(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(item, start, end, edits) of the verified matches in the folded characters of a text."""
+        spread = self.width + self.gap  # diagonals of a band
         for number, diagonal in zip(*(x.tolist() for x in self.candidates(codes)), strict=True):
             w = self.windows[number]
             start = max(0, diagonal - w.edits)
-            found = aligned(w.codes, codes[start : max(0, diagonal + 2 * self.gap + 1 + len(w.codes) + w.edits)], diagonal - start - w.edits, 2 * self.gap + 2 * w.edits + 2, w.edits)
+            found = aligned(w.codes, codes[start : max(0, diagonal + spread + len(w.codes) + w.edits)], diagonal - start - w.edits, spread + 2 * w.edits, w.edits)
             if found:
                 yield w.item, start + found[0], start + found[1], found[2]
         if self.short:
@@ -214,7 +233,7 @@ _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "item_id", "start", "end
 def _hits(text: str, index: Index) -> Iterator[tuple[int, int, int, int]]:
     """(item, start, end, edits) in the text's own positions; texts are gone through in overlapping parts."""
     codes, at = folded(text)
-    overlap = WINDOW * 2 + 8 * (index.gap + 1)
+    overlap = WINDOW * 2 + 8 * (index.gap + 1)  # more than a match and its band
     for s in range(0, max(1, len(codes)), AT_ONCE):
         part = codes[s : s + AT_ONCE + overlap]
         for item, start, end, edits in index.regions(part):
