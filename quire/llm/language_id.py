@@ -20,6 +20,8 @@ CELLS = 1 << 16
 #: Pseudo-count of every trigram under every language.
 SMOOTHING = 0.02
 ROUNDS = 12
+#: Languages that models are fitted for, the most frequent ones.
+LANGUAGES = 100
 #: Largest language set that is tried.
 MOST = 3
 #: A further language must raise the log-likelihood by this times the logarithm of the words.
@@ -75,17 +77,17 @@ def _ends(texts: list[str]) -> np.ndarray:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Models of the languages of ``labelled`` (doc_id, text, lang; null languages are left out).
 
-    Of each language about ``sample`` documents are read, chosen by a hash of doc_id, and
-    their whole texts counted where they are; what reaches the driver is a count for each
-    used cell and language, at most 2 x CELLS numbers a language.
+    Of each language (at most ``LANGUAGES``, the most frequent) about ``sample`` documents are read,
+    chosen by a hash of id and text, and their whole texts counted where they are. What reaches
+    the driver is a count for each used cell and language, at most 2 x CELLS numbers a language.
     """
     labelled = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((CELLS, 0), np.float32), np.zeros((CELLS, 0), np.float32))
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample / sizes[lang]))])
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
     number = {lang: i for i, lang in enumerate(languages)}
     schema = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
 
@@ -103,7 +105,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         used = np.flatnonzero(counts)
         yield batch(schema, used, counts[used])
 
-    counted = arrow_map(labelled.where(drawn), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counted = arrow_map(labelled.where(F.col("lang").isin(languages)).where(drawn), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     table = counted.toArrow()
     counts = np.zeros(2 * CELLS * len(languages))
     counts[table.column("cell").to_numpy()] = table.column("n").to_numpy()
