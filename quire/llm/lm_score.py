@@ -111,7 +111,8 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary: str = BYTE_VOCABUL
     """
     ids = target_ids.select(F.col("doc_id").alias("target_id")).where("target_id is not null").distinct()
     own = docs.select("doc_id", "text")
-    marked = own.join(ids.withColumn("in_target", F.lit(True)), own["doc_id"] == ids["target_id"], "left").select("doc_id", "text", F.coalesce("in_target", F.lit(False)).alias("in_target"))
+    # by merge at every size: how many ids there are has no bound, and one plan scales as it is measured
+    marked = own.join(ids.withColumn("in_target", F.lit(True)).hint("merge"), own["doc_id"] == ids["target_id"], "left").select("doc_id", "text", F.coalesce("in_target", F.lit(False)).alias("in_target"))
     table = counts(marked, vocabulary).toArrow()
     models = Models(*(table.column(n).to_numpy() for n in ("cell", "target", "background")))
     shared = docs.sparkSession.sparkContext.broadcast(models)
