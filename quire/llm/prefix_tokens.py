@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from array import array
 from collections.abc import Iterator
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -12,25 +13,20 @@ import regex
 from pyspark.sql import DataFrame
 
 from .frames import arrow_map, batch, columns
-from .tokens import BYTE_VOCABULARY, SPACE, ByChunk, per_worker, vocabulary
+from .tokens import BYTE_SPLIT, BYTE_VOCABULARY, SPACE, ByChunk, Remembered, byte_letters, per_worker, vocabulary
 
 LIMIT = 1024
+#: Bytes after which the state of a piece is kept for others that begin alike; how many are kept.
+STEM, MOST_STEMS = 6, 200_000
+#: Pairs of tokens whose merging is remembered.
+MOST_PAIRS = 1_000_000
+_FRESH = ([0], [""], [])
 
-#: The byte-level pre-tokenizer's split, with its white space written out.
-SPLIT = regex.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-)
 _CONTRACTIONS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
+_RUN = regex.compile(f"[{SPACE}]{{2}}")
 _SPACES = regex.compile(f"[{SPACE}]+")
 
 
-def _byte_letters() -> dict[str, int]:
-    """The letters that byte-level vocabulary files write bytes as: printable ones as they are."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-
-
 class PrefixCounter:
     """Exact token counts of every prefix of a chunk of text.
 
@@ -42,54 +38,57 @@ class PrefixCounter:
     def __init__(self, name: str = BYTE_VOCABULARY):
         with open(vocabulary(name), encoding="utf-8") as f:
             file = json.load(f)
-        letters = _byte_letters()
-        as_bytes = lambda s: bytes(letters[c] for c in s)
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
-        self.ranks = {(as_bytes(a), as_bytes(b)): i for i, (a, b) in enumerate(pairs)}
-        self.known = {bytes([b]) for b in range(256)} | {a + b for a, b in self.ranks}
-        self.longest = max(map(len, self.known))
+        from tokenizers import Tokenizer
+
+        #: The library's merges, on bytes written as letters.
+        self.merge = Tokenizer.from_file(vocabulary(name)).model.tokenize
+        self.letters = byte_letters()
+        known = {*self.letters.values(), *file["model"]["vocab"]}
+        #: Every beginning of a token, and whether it is one.
+        self.begins = {t[:i]: t[:i] in known for t in known for i in range(1, len(t) + 1)}
         special = sorted((t["content"] for t in file["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special)) or "(?!)")
-        self.apart: dict[tuple[bytes, bytes], bool] = {}
-
-    def merged(self, piece: bytes) -> list[bytes]:
-        """Byte pair encoding: merge the pair of least rank until none is left."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(p, len(self.ranks)), i) for i, p in enumerate(zip(parts, parts[1:])))
-            if rank == len(self.ranks):
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def stay_apart(self, a: bytes, b: bytes) -> bool:
-        """Whether the tokens a and b, side by side, are what their joined bytes encode to."""
-        key = a, b
-        found = self.apart.get(key)
-        if found is None:
-            if len(self.apart) > 1_000_000:
-                self.apart.clear()
-            found = self.apart[key] = self.merged(a + b) == ([a, b] if a else [b])
+        self.apart: dict[tuple[str, str], bool] = {}
+        self.stems: dict[str, tuple] = {}
+
+    def stay_apart(self, a: str, b: str) -> bool:
+        """Whether the tokens a and b, side by side, are what they are merged to together."""
+        if len(self.apart) > MOST_PAIRS:
+            self.apart.clear()
+        found = [t.value for t in self.merge(a + b)] == ([a, b] if a else [b])
+        self.apart[a, b] = found
         return found
 
-    def of_bytes(self, piece: bytes) -> list[int]:
-        """Counts at the byte prefixes 1 to n of a piece that the pre-tokenizer leaves whole."""
-        counts, last = [0], [b""]
-        for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - self.longest), end):
+    def of_bytes(self, piece: str) -> list[int]:
+        """Counts at the byte prefixes 1 to n of a piece that the pre-tokenizer leaves whole, its
+        bytes written as letters."""
+        counts, last, begun = self.stems.get(piece[:STEM], _FRESH)
+        counts, last, apart = counts[:], last[:], self.apart
+        for end in range(len(counts), len(piece) + 1):
+            alive, best = [], -1
+            for start in (*begun, end - 1):
                 token = piece[start:end]
-                if token in self.known and self.stay_apart(last[start], token):
-                    counts.append(counts[start] + 1)
-                    last.append(token)
-                    break
-            else:
+                complete = self.begins.get(token)
+                if complete is None:
+                    continue  # no token begins like this, nor will one with more bytes
+                alive.append(start)
+                if complete and best < 0:
+                    known = apart.get((last[start], token))
+                    if known or known is None and self.stay_apart(last[start], token):
+                        best, found = start, token
+            if best < 0:
                 raise AssertionError(f"no token ends at byte {end} of {piece!r}")
+            counts.append(counts[best] + 1)
+            last.append(found)
+            begun = alive
+            if end == STEM and len(self.stems) < MOST_STEMS:
+                self.stems[piece[:STEM]] = counts[:], last[:], begun
         return counts[1:]
 
     def of_piece(self, piece: str) -> list[int]:
         """Counts at the code point prefixes of such a piece."""
         data = piece.encode()
-        counts = self.of_bytes(data)
+        counts = self.of_bytes(data.decode("latin-1").translate(self.letters))
         if len(data) == len(piece):
             return counts
         ends = np.cumsum([len(c.encode()) for c in piece]) - 1
@@ -99,7 +98,7 @@ class PrefixCounter:
         """Counts at the prefixes of a text without special tokens."""
         out: list[int] = []
         base, before, previous = 0, 0, ""
-        for piece in SPLIT.findall(text):
+        for piece in BYTE_SPLIT.findall(text):
             counts = [base + c for c in self.of_piece(piece)]
             whole = counts[-1]
             if previous and _SPACES.match(piece) and _SPACES.fullmatch(previous):
@@ -127,15 +126,22 @@ class PrefixCounter:
         return out + [base + c for c in self.of_segment(text[at:])]
 
 
+def _steps(counts: list[int]) -> bytes:
+    return array("h", map(sub, counts, [0, *counts])).tobytes()
+
+
 class PrefixDeltas(ByChunk):
     """The steps between the counts at a text's prefixes, as signed 16-bit numbers."""
 
     def __init__(self, name: str = BYTE_VOCABULARY):
         counter = PrefixCounter(name)
+        pieces = Remembered(lambda piece: _steps(counter.of_piece(piece)))
 
         def make(chunk: str) -> bytes:
-            counts = counter.of_chunk(chunk)
-            return array("h", (b - a for a, b in zip([0, *counts], counts))).tobytes()
+            # where no prefix of the chunk is split in another way than the chunk, its pieces' steps follow one another
+            if "'" in chunk or _RUN.search(chunk) or counter.special.search(chunk):
+                return _steps(counter.of_chunk(chunk))
+            return b"".join(map(pieces.__getitem__, BYTE_SPLIT.findall(chunk)))
 
         super().__init__(make)
 

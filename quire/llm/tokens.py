@@ -11,6 +11,8 @@ import os
 import re
 from array import array
 
+import regex
+
 #: The characters that the pre-tokenizers' ``\s`` takes as white space.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -22,6 +24,15 @@ CACHED_LENGTH = 40
 
 _BESIDE_SPACE = re.compile(f" [{SPACE}]|[{SPACE}] ")
 _CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: The two pre-tokenizers' splits, with their white space written out.
+_SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
+BYTE_SPLIT = regex.compile(rf"{_SUFFIXES}| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+WORD_SPLIT = regex.compile(rf"{_SUFFIXES}|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+#: Characters whose classes and lower case no Unicode version changes, and which normalisation leaves alone.
+_PLAIN = re.compile("[\t\n\r -~\xa1-\u012f]*")
+#: The same splits where all characters are ASCII.
+_ASCII_BYTE_SPLIT = re.compile(rf"{_SUFFIXES}| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+_ASCII_WORD_SPLIT = re.compile(rf"{_SUFFIXES}|[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+", re.ASCII)
 _CONTROL = re.compile("[\x1c-\x1f]")
 _ASCII_WORD = re.compile("[^\t-\r ]+")
 
@@ -46,7 +57,7 @@ def chunks(text: str) -> tuple[str, list[str]]:
     return first, rest
 
 
-class _Remembered(dict):
+class Remembered(dict):
     """Chunk -> what ``make`` gives for it; stops growing at ``CACHED_CHUNKS``."""
 
     def __init__(self, make):
@@ -63,8 +74,8 @@ class ByChunk:
     """Bytes of a text, joined from what ``make(chunk)`` gives for its chunks."""
 
     def __init__(self, make):
-        self.spaced = _Remembered(lambda word: make(" " + word))
-        self.whole = _Remembered(make)
+        self.spaced = Remembered(lambda word: make(" " + word))
+        self.whole = Remembered(make)
 
     def __call__(self, text: str) -> bytes:
         if _BESIDE_SPACE.search(text):
@@ -77,28 +88,51 @@ class ByteIds(ByChunk):
     """Little-endian unsigned 32-bit ids under a byte-level vocabulary file."""
 
     def __init__(self, name: str = BYTE_VOCABULARY):
-        super().__init__(encoder(name))
+        super().__init__(encoder(name, BYTE_SPLIT, _ASCII_BYTE_SPLIT, lower=False))
 
 
 class WordIds:
     """The same under a vocabulary that drops white space and folds case."""
 
     def __init__(self, name: str = WORD_VOCABULARY):
-        self.known = _Remembered(encoder(name))
+        self.known = Remembered(encoder(name, WORD_SPLIT, _ASCII_WORD_SPLIT, lower=True))
 
     def __call__(self, text: str) -> bytes:
         words = _ASCII_WORD.findall(text) if _CONTROL.search(text) else text.split()
         return b"".join(map(self.known.__getitem__, words))
 
 
-def encoder(name: str):
-    """The library itself: text -> ids as bytes, without added special tokens."""
+def byte_letters() -> dict[int, str]:
+    """Byte -> the letter that byte-level vocabulary files write it as: printable ones as they are."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+def encoder(name: str, split: regex.Pattern, ascii_split: re.Pattern, lower: bool):
+    """The library: text -> ids as bytes, without added special tokens.
+
+    Chunks of ASCII or Latin letters skip the library's offset bookkeeping: they are split here,
+    and its model merges the pieces. All else goes through the whole library.
+    """
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(vocabulary(name))
     library.no_truncation()
     library.no_padding()
-    return lambda text: array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
+    merge, letters = library.model.tokenize, byte_letters()
+    specials = [t.content for t in library.get_added_tokens_decoder().values()]
+
+    def encode(text: str) -> bytes:
+        own = text.lower() if lower else text
+        special = any(map(text.__contains__, specials))
+        if not special and text.isascii():
+            return array("I", [t.id for p in ascii_split.findall(own) for t in merge(p.translate(letters))]).tobytes()
+        if not special and _PLAIN.fullmatch(text):
+            return array("I", [t.id for p in split.findall(own) for t in merge(p.encode().decode("latin-1").translate(letters))]).tobytes()
+        return array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    return encode
 
 
 _WORKERS_OWN: dict = {}
