@@ -114,7 +114,7 @@ def _trees(fps: np.ndarray, first: int, most: int) -> tuple[list, list]:
         while waiting:
             at = waiting.pop()
             other = np.flatnonzero(unplaced & (side != side[at])) if first else np.flatnonzero(unplaced)
-            near = other[np.bitwise_count(fps[other] ^ fps[at]) <= most]
+            near = other[np.bitwise_count((fps[other] ^ fps[at]).view(np.uint64)) <= most]
             unplaced[near] = False
             waiting += near.tolist()
             members += fps[near].tolist()
@@ -156,7 +156,7 @@ def links(distinct: DataFrame, most: int = BITS, block: int = BLOCK) -> DataFram
             starts = np.cumsum(sizes) - sizes
             firsts = b.column("first").to_numpy()
             two = starts[sizes == 2]
-            near = np.bitwise_count(flat[two] ^ flat[two + 1]) <= most
+            near = np.bitwise_count((flat[two] ^ flat[two + 1]).view(np.uint64)) <= most
             out_a, out_b = [flat[two][near]], [flat[two + 1][near]]
             for i in np.flatnonzero(sizes > 2):
                 members, roots = _trees(flat[starts[i] : starts[i] + sizes[i]], int(firsts[i]), most)
