@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import arrow_map, batch, columns
+from .frames import arrow_map, batch, columns, written
 from .tokens import BYTE_VOCABULARY, ByteIds, per_worker
 
-#: Ids of the shared vocabulary (the tokenizer's), and hashed cells for its bigrams: the bound of both models.
+#: Ids of the shared vocabulary (the tokenizer's).
 IDS = 1 << 16
-CELLS = 1 << 20
+#: The most frequent bigrams, which workers hold; all others are joined to the documents that have them.
+HOT = 1 << 19
 #: Pseudo-count of the uniform distribution in a unigram, and of the unigram in a bigram.
 UNIFORM = 1.0
 BACK_OFF = 4.0
@@ -29,20 +30,18 @@ def _ids(text: str | None, ids_of) -> np.ndarray:
 
 
 def _cells(ids: np.ndarray) -> np.ndarray:
-    """Cells of each token's unigram (0 to IDS) and bigram (from IDS on)."""
-    before = np.concatenate([[BEGIN], ids[:-1]]).astype(np.uint64)
-    mixed = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)).astype(np.int64) % CELLS
+    """The bigram of each token with the one before it, one number for each pair."""
+    return np.concatenate([[BEGIN], ids[:-1]]).astype(np.int64) * IDS + ids
 
 
 def counts(docs: DataFrame, vocabulary: str = BYTE_VOCABULARY) -> DataFrame:
     """cell, target and background: token counts over all of ``docs`` (text, in_target).
 
-    Every document's unigrams, contexts and bigrams are counted where it is read; a task hands on a row for
-    each cell that its share of the corpus has, and the rows are summed by cell.
+    Cells are unigrams (0 to IDS), contexts (IDS to 2 x IDS) and bigrams (from 2 x IDS on), each pair with a
+    cell of its own. They are counted where a document is read; a task hands on a row for each cell
+    that a few million of its tokens have, and the rows are summed by cell.
     """
     schema = pa.schema([("cell", pa.int64()), ("target", pa.int64()), ("background", pa.int64())])
-    width = 2 * IDS + CELLS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = per_worker(ByteIds, vocabulary)
@@ -50,9 +49,12 @@ def counts(docs: DataFrame, vocabulary: str = BYTE_VOCABULARY) -> DataFrame:
         size = 0
 
         def summed() -> pa.RecordBatch:
-            target, background = (np.bincount(np.concatenate([np.zeros(0, np.int32), *held[k]]), minlength=width) for k in (True, False))
-            used = np.flatnonzero(target + background)
-            return batch(schema, used, target[used], background[used])
+            found = [np.unique(np.concatenate([np.zeros(0, np.int64), *held[k]]), return_counts=True) for k in (True, False)]
+            used = np.union1d(found[0][0], found[1][0])
+            both = np.zeros((2, len(used)), np.int64)
+            for n, (cells, count) in zip(both, found, strict=True):
+                n[np.searchsorted(used, cells)] = count
+            return batch(schema, used, *both)
 
         for b in batches:
             for text, in_target in zip(*columns(b, "text", "in_target"), strict=True):
@@ -60,7 +62,7 @@ def counts(docs: DataFrame, vocabulary: str = BYTE_VOCABULARY) -> DataFrame:
                 if not len(ids):
                     continue
                 contexts = np.concatenate([[BEGIN], ids[:-1]])
-                held[bool(in_target)] += [x.astype(np.int32) for x in (ids, IDS + contexts, 2 * IDS + _cells(ids))]
+                held[bool(in_target)] += [ids, IDS + contexts, 2 * IDS + _cells(ids)]
                 size += len(ids)
                 if size >= COUNTED_AT_ONCE:
                     yield summed()
@@ -79,31 +81,48 @@ class Models:
     """
 
     def __init__(self, cell: np.ndarray, target: np.ndarray, background: np.ndarray):
-        width = 2 * IDS + CELLS
+        """``cell`` has all unigrams and contexts, and those bigrams that the models hold."""
         self.unigram, self.context, self.bigram = [], [], []
         tokens = [max(1.0, float(n[cell < IDS].sum())) for n in (target, background)]
-        for n, scale in ((target, 1.0), (background, tokens[0] / tokens[1])):
-            full = np.zeros(width)
-            full[cell] = n * scale
+        self.scales = [1.0, tokens[0] / tokens[1]]
+        pair = cell >= 2 * IDS
+        order = np.argsort(cell[pair])
+        self.pairs = (cell[pair] - 2 * IDS)[order]
+        for n, scale in zip((target, background), self.scales, strict=True):
+            full = np.zeros(2 * IDS)
+            full[cell[~pair]] = n[~pair] * scale
             total = full[:IDS].sum()
             self.unigram.append(((full[:IDS] + UNIFORM / IDS * 1000) / (total + UNIFORM * 1000)).astype(np.float32))
-            self.context.append((full[IDS : 2 * IDS] + BACK_OFF).astype(np.float32))
-            self.bigram.append(full[2 * IDS :].astype(np.float32))
+            self.context.append((full[IDS:] + BACK_OFF).astype(np.float32))
+            self.bigram.append((n[pair][order] * scale).astype(np.float32))
+
+    def held(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each bigram is among those held, and whether it is."""
+        if not len(self.pairs):
+            return np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool)
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return at, self.pairs[at] == pairs
+
+    def loss(self, model: int, pairs: np.ndarray, bigram: np.ndarray) -> np.ndarray:
+        """Negative log probability under the target (0) or background (1), given the pairs' counts, scaled."""
+        return -np.log((bigram + BACK_OFF * self.unigram[model][pairs % IDS]) / self.context[model][pairs // IDS])
 
     def losses(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Negative log probability of each token under the target and the background."""
-        contexts, cells = np.concatenate([[BEGIN], ids[:-1]]), _cells(ids)
-        return tuple(-np.log((b[cells] + BACK_OFF * u[ids]) / c[contexts]) for u, c, b in zip(self.unigram, self.context, self.bigram, strict=True))
+        """Negative log probability of each token under the target and the background, for models that hold
+        every bigram of the corpus; others have count 0."""
+        pairs = _cells(ids)
+        at, known = self.held(pairs)
+        return tuple(self.loss(i, pairs, np.where(known, self.bigram[i][at], 0) if len(self.pairs) else np.zeros(len(pairs), np.float32)) for i in (0, 1))
 
 
-def score(docs: DataFrame, target_ids: DataFrame, vocabulary: str = BYTE_VOCABULARY) -> DataFrame:
+def score(docs: DataFrame, target_ids: DataFrame, vocabulary: str = BYTE_VOCABULARY, hot: int = HOT) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score of every whole text.
 
     The target model is fitted on the documents whose doc_id is in ``target_ids``, the
     background model on all others; both count every token of theirs. The losses are means
     over a text's tokens (nats); the score is target less background, lower for texts more like
-    the target. The models have a fixed number of cells (``2 * IDS + CELLS``), so what is
-    broadcast doesn't grow with the corpus; bigrams of one cell share their count.
+    the target. The table of bigram counts is exact and grows with the corpus. Unigrams, contexts and the
+    ``HOT`` most frequent bigrams are broadcast; a document's other bigrams, each once with its number, are joined to the table.
 
     A null or empty text has 0 tokens and null losses and score. A null doc_id is never in the
     target; repeated rows count as often as they occur; an empty target or table makes
@@ -113,22 +132,42 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary: str = BYTE_VOCABUL
     own = docs.select("doc_id", "text")
     # by merge at every size: how many ids there are has no bound, and one plan scales as it is measured
     marked = own.join(ids.withColumn("in_target", F.lit(True)).hint("merge"), own["doc_id"] == ids["target_id"], "left").select("doc_id", "text", F.coalesce("in_target", F.lit(False)).alias("in_target"))
-    table = counts(marked, vocabulary).toArrow()
+    counted = written(counts(marked, vocabulary), "counts")
+    single = counted.where(F.col("cell") < 2 * IDS)
+    pairs = counted.where(F.col("cell") >= 2 * IDS)
+    most = pairs.orderBy(F.desc(F.col("target") + F.col("background")), "cell").limit(hot)
+    table = pa.concat_tables([single.toArrow(), most.toArrow()])
     models = Models(*(table.column(n).to_numpy() for n in ("cell", "target", "background")))
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_sum", pa.float64()), ("background_sum", pa.float64()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = per_worker(ByteIds, vocabulary)
+        models = shared.value
         for b in batches:
             rows = []
             for doc_id, text in zip(*columns(b, "doc_id", "text"), strict=True):
-                ids = _ids(text, ids_of)
-                if len(ids):
-                    target, background = (float(x.mean(dtype=np.float64)) for x in shared.value.losses(ids))
-                    rows.append((doc_id, len(ids), target, background, target - background))
-                else:
-                    rows.append((doc_id, 0, None, None, None))
-            yield batch(schema, *(zip(*rows, strict=True) if rows else [[]] * 5))
-
-    return arrow_map(own, run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+                pairs = _cells(_ids(text, ids_of)) if text else np.zeros(0, np.int64)
+                at, known = models.held(pairs)
+                sums = [float(models.loss(i, pairs[known], models.bigram[i][at[known]]).sum(dtype=np.float64)) for i in (0, 1)]
+                rows.append((doc_id, len(pairs), *sums, *np.unique(pairs[~known], return_counts=True)))
+            yield batch(schema, *(zip(*rows, strict=True) if rows else [[]] * 6))
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value
+        for b in batches:
+            own = b.column("cell").to_numpy() - 2 * IDS
+            losses = [models.loss(i, own, (b.column(n).to_numpy() * models.scales[i]).astype(np.float32)) for i, n in enumerate(("target", "background"))]
+            yield batch(_RARE, own, *losses)
+
+    found = arrow_map(own, run, "doc_id long, n_tokens long, target_sum double, background_sum double, pairs array<long>, times array<long>")
+    found = written(found.withColumn("row", F.monotonically_increasing_id()), "found")
+    each = found.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
+    kept = each.join(arrow_map(pairs, rare, "pair long, target_loss double, background_loss double").hint("merge"), "pair")
+    rest = kept.groupBy("row").agg(F.sum(F.col("times") * F.col("target_loss")).alias("target_rest"), F.sum(F.col("times") * F.col("background_loss")).alias("background_rest"))
+    mean = lambda name: (F.col(f"{name}_sum") + F.coalesce(f"{name}_rest", F.lit(0.0))) / F.nullif(F.col("n_tokens"), F.lit(0))
+    out = found.join(rest.hint("merge"), "row", "left").select("doc_id", "n_tokens", mean("target").alias("target_loss"), mean("background").alias("background_loss"))
+    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
+_RARE = pa.schema([("pair", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64())])
