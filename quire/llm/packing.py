@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .differencing import windows
+from .differencing import difference
 from .frames import arrow_map, batch, columns
 from .tokens import BYTE_VOCABULARY, ByteIds, per_worker
 
@@ -29,8 +29,8 @@ def pack(docs: DataFrame, vocabulary: str = BYTE_VOCABULARY, capacity: int = CAP
 
     A document's ids end with id 1. What fills whole sequences is cut off from its start; the
     rest goes as two pieces, a large and a small one, into a block, and each block is
-    split by multiway differencing into ceil(total / capacity) nearly equal windows, or more
-    while one is above the capacity. Every partition packs what it reads, so nothing is
+    split by multiway differencing into ceil(total / capacity) nearly equal windows. What
+    a window has above the capacity is cut off and goes where there is room, so no block has a window more. Every partition packs what it reads, so nothing is
     shuffled, no block is larger than ``block`` windows, and a task that is run again
     on the same rows gives the same rows. Sequence ids are unique over all partitions.
 
@@ -72,16 +72,18 @@ class _Packer:
             fine = min(n - whole - 1, _fine(ids))
             for start, end in ((whole, n - fine), (n - fine, n)):
                 if start < end:
-                    self.pieces.append(_piece(doc_id, ids, start, end - start, n))
+                    self.pieces.append((doc_id, ids, start, end - start, n))
             self.waiting += n - whole
 
     def settle(self) -> None:
         """Give every waiting piece its window and offset."""
-        for _, members in windows([p[2] for p in self.pieces], self.capacity):
+        sizes = [p[3] for p in self.pieces]
+        for members in _levelled(sizes, difference(sizes, -(-sum(sizes) // self.capacity)), self.capacity) if sizes else []:
             offset = 0
-            for i in members:
-                self.rows.append((*self.pieces[i], self.sequence, offset))
-                offset += self.pieces[i][2]
+            for i, skip, length in members:
+                doc_id, ids, start, _, n = self.pieces[i]
+                self.rows.append((*_piece(doc_id, ids, start + skip, length, n), self.sequence, offset))
+                offset += length
             self.sequence += 1
         self.pieces, self.waiting = [], 0
 
@@ -90,6 +92,37 @@ class _Packer:
         return batch(_ARROW, *(zip(*rows, strict=True) if rows else [[]] * len(_ARROW)))
 
 
+def _levelled(sizes: list[int], found: list[tuple[int, list[int]]], capacity: int) -> list[list[tuple[int, int, int]]]:
+    """(item, start in the item, length) for each window, none above ``capacity``.
+
+    A window's excess is cut from its largest items' ends, and the parts fill the lightest windows.
+    The windows must have room for all items together.
+    """
+    out, cut = [], []
+    for total, items in found:
+        excess, members = total - capacity, []
+        for i in sorted(items, key=lambda i: -sizes[i]):
+            off = min(max(0, excess), sizes[i])
+            excess -= off
+            if off:
+                cut.append((i, sizes[i] - off, off))
+            if off < sizes[i]:
+                members.append((i, 0, sizes[i] - off))
+        out.append(members)
+    room = sorted((sum(m[2] for m in members), w) for w, members in enumerate(out))
+    at = 0
+    for i, start, length in sorted(cut, key=lambda c: -c[2]):
+        while length:
+            used, w = room[at]
+            part = min(length, capacity - used)
+            if part:
+                out[w].append((i, start, part))
+                room[at] = (used + part, w)
+            start, length = start + part, length - part
+            at += used + part == capacity
+    return [members for members in out if members]
+
+
 def _fine(ids: bytes) -> int:
     """Length of a document's small piece: 1 to FINE, with as many below 16 as above."""
     share = zlib.crc32(ids) / 2**32
