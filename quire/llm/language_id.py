@@ -20,14 +20,12 @@ CELLS = 1 << 16
 #: Pseudo-count of every trigram under every language.
 SMOOTHING = 0.02
 ROUNDS = 12
-#: Languages that models are fitted for, the most frequent ones.
-LANGUAGES = 100
-#: Largest language set that is tried.
-MOST = 3
 #: A further language must raise the log-likelihood by this times the logarithm of the words.
 PENALTY = 3.0
 #: Characters that are scored at once; a longer text is scored alone.
 CHARACTERS = 1_000_000
+#: Numbers (events by languages) that are held at once; with many languages fewer characters are scored at once.
+NUMBERS = 16_000_000
 
 
 @dataclass
@@ -57,7 +55,7 @@ def _events(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     letter = _is_letter(codes)
     own = np.where(letter, codes, 0).astype(np.uint64)
     one = np.concatenate([[0], own[:-1]]).astype(np.uint64)
-    two = np.concatenate([[0, 0], own[:-2]]).astype(np.uint64)
+    two = np.concatenate([[0], one[:-1]]).astype(np.uint64)
     two[one == 0] = 0
     event = np.flatnonzero(letter | (one > 0))
     own, one, two = own[event], one[event], two[event]
@@ -77,48 +75,48 @@ def _ends(texts: list[str]) -> np.ndarray:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Models of the languages of ``labelled`` (doc_id, text, lang; null languages are left out).
 
-    Of each language (at most ``LANGUAGES``, the most frequent) about ``sample`` documents are read,
-    chosen by a hash of id and text, and their whole texts counted where they are. What reaches
-    the driver is a count for each used cell and language, at most 2 x CELLS numbers a language.
+    Of each language about ``sample`` documents are read, chosen by a hash of id and text, and their
+    whole texts counted where they are. What reaches the driver is a count for each used cell and
+    language, at most 2 x CELLS numbers a language; the number of languages has no bound.
     """
     labelled = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((CELLS, 0), np.float32), np.zeros((CELLS, 0), np.float32))
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample / sizes[lang]))])
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
+    shares = labelled.sparkSession.createDataFrame([(lang, min(1.0, sample / sizes[lang])) for lang in languages], "lang string, share double")
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
     number = {lang: i for i, lang in enumerate(languages)}
     schema = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(2 * CELLS * len(languages), np.int64)
         for b in batches:
             texts, langs = columns(b, "text", "lang")
-            for lang in set(langs):
-                own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
-                for part in _parts(own):
+            own: dict[str, list[str]] = {}
+            for text, lang in zip(texts, langs, strict=True):
+                own.setdefault(lang, []).append(text)
+            for lang, some in own.items():
+                for part in _parts(some):
                     triple, pair, _, _ = _events(part)
                     for i, cells in enumerate((triple, pair)):
-                        at = (2 * number[lang] + i) * CELLS
-                        counts[at : at + CELLS] += np.bincount(cells, minlength=CELLS)
-        used = np.flatnonzero(counts)
-        yield batch(schema, used, counts[used])
+                        used, n = np.unique(cells, return_counts=True)
+                        yield batch(schema, used + (2 * number[lang] + i) * CELLS, n)
 
-    counted = arrow_map(labelled.where(F.col("lang").isin(languages)).where(drawn), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    sampled = labelled.join(F.broadcast(shares), "lang").where(drawn).select("doc_id", "text", "lang")
+    counted = arrow_map(sampled, run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     table = counted.toArrow()
-    counts = np.zeros(2 * CELLS * len(languages))
-    counts[table.column("cell").to_numpy()] = table.column("n").to_numpy()
-    counts = counts.reshape(len(languages), 2, CELLS)
-    trigrams = np.log(counts[:, 0] + SMOOTHING).T.astype(np.float32)
-    bigrams = np.log(counts[:, 1] + SMOOTHING * 64).T.astype(np.float32)
-    return Model(languages, np.ascontiguousarray(trigrams), np.ascontiguousarray(bigrams))
+    cell, n = table.column("cell").to_numpy(), table.column("n").to_numpy()
+    tables = [np.full((CELLS, len(languages)), np.log(less), np.float32) for less in (SMOOTHING, SMOOTHING * 64)]
+    for i, less in enumerate((SMOOTHING, SMOOTHING * 64)):
+        own = cell // CELLS % 2 == i
+        tables[i][cell[own] % CELLS, cell[own] // CELLS // 2] = np.log(n[own] + less)
+    return Model(languages, *tables)
 
 
-def _parts(texts: list[str]) -> Iterator[list[str]]:
+def _parts(texts: list[str], most: int = CHARACTERS) -> Iterator[list[str]]:
     part, size = [], 0
     for t in texts:
-        if part and size + len(t) > CHARACTERS:
+        if part and size + len(t) > most:
             yield part
             part, size = [], 0
         part.append(t)
@@ -136,6 +134,18 @@ def _expectation(p: np.ndarray, shares: np.ndarray, text_of: np.ndarray, starts:
     return np.add.reduceat(weighted, starts, axis=0) / n[:, None], likelihood
 
 
+def _word_scores(triple: np.ndarray, pair: np.ndarray, starts: np.ndarray, model: Model) -> np.ndarray:
+    """Log-likelihood of each word under each language; the events are gone through in blocks of words."""
+    out = np.empty((len(starts), len(model.languages)))
+    most, done = max(1, NUMBERS // len(model.languages)), 0
+    while done < len(starts):
+        to = max(done + 1, int(np.searchsorted(starts, starts[done] + most)))
+        some = slice(starts[done], starts[to] if to < len(starts) else None)
+        out[done:to] = np.add.reduceat(model.trigrams[triple[some]] - model.bigrams[pair[some]], starts[done:to] - starts[done], axis=0)
+        done = to
+    return out
+
+
 def mixtures(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Language shares of each text under its best language set, and its number of words."""
     n_lang = len(model.languages)
@@ -146,7 +156,7 @@ def mixtures(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
     triple, pair, starts, text_of_word = _events(texts)
     if not len(starts):
         return shares, words
-    score = np.add.reduceat(model.trigrams[triple] - model.bigrams[pair], starts, axis=0).astype(np.float64)
+    score = _word_scores(triple, pair, starts, model)
     present, first, n = np.unique(text_of_word, return_index=True, return_counts=True)
     text_of = np.searchsorted(present, text_of_word)
     score -= score.max(1, keepdims=True)
@@ -163,7 +173,9 @@ def mixtures(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
     penalty = PENALTY * np.log(np.maximum(n, 2))
     # no set can beat the likelihood of all languages, so most texts are settled here
     open_ = np.flatnonzero((full - penalty > value) & (n > 1))
-    for size in range(2, min(MOST, n_lang) + 1):
+    for size in range(2, n_lang + 1):
+        # a set of this size pays its penalty out of what all languages gain, so this is the end for most
+        open_ = open_[full[open_] - (size - 1) * penalty[open_] > value[open_]]
         if not len(open_):
             break
         rows = np.isin(text_of, open_)
@@ -203,7 +215,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def judge(texts: list[str | None], model: Model) -> list[tuple[str, float, list[str], list[float]]]:
     """lang_pred, score, languages and shares of each text."""
     out = []
-    for part in _parts([t or "" for t in texts]):
+    most = min(CHARACTERS, max(1, 8 * NUMBERS // max(1, len(model.languages))))
+    for part in _parts([t or "" for t in texts], most):
         shares, words = mixtures(part, model)
         for s, n in zip(shares, words, strict=True):
             if not n or not len(s):
