@@ -16,12 +16,15 @@ from .frames import arrow_map, batch
 Q = 8
 WINDOW = 96
 STEP = 48
+#: Shorter windows, for partial quotes: characters, and from one to the next, no more than its edits, so that
+#: a quote is found wherever it begins.
+QUOTE, QUOTE_STEP = 64, 6
 #: Edits that a window may have, as a share of its length.
 BUDGET = 0.1
 #: A benchmark text of fewer characters is matched as a whole only, without edits.
 SHORTEST = 24
 #: Benchmark characters that one pass over the documents looks for; more make more passes.
-PASS_CHARACTERS = 4_000_000
+PASS_CHARACTERS = 600_000
 #: Document characters that are scanned at once.
 AT_ONCE = 500_000
 #: Pairs of equal q-grams that are put in bands at once.
@@ -96,7 +99,8 @@ class Region:
 class Index:
     """Windows of benchmark texts, and where their q-grams are."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, step: int = STEP, budget: float = BUDGET):
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, step: int = STEP, budget: float = BUDGET, quotes: bool = False):
+        """With ``quotes`` a text has the windows of ``QUOTE`` characters too."""
         self.q, self.windows = q, []
         self.short: list[tuple[int, np.ndarray]] = []
         for item, text in items:
@@ -106,13 +110,14 @@ class Index:
                 if n:
                     self.short.append((item, codes))
                 continue
-            starts = range(0, max(1, n - window + step), step) if n > window else [0]
-            for s in starts:
-                s = max(0, min(s, n - window))
-                part = codes[s : s + window]
-                # the lemma: e edits leave at least m + 1 - q - q e of the q-grams
-                edits = min(int(budget * len(part)), (len(part) - q) // q)
-                self.windows.append(Region(item, s, part, edits, len(part) + 1 - q - q * edits))
+            for size, stride in ((window, step), (QUOTE, QUOTE_STEP))[: 2 if quotes and n > QUOTE else 1]:
+                starts = range(0, max(1, n - size + stride), stride) if n > size else [0]
+                for s in starts:
+                    s = max(0, min(s, n - size))
+                    part = codes[s : s + size]
+                    # the lemma: e edits leave at least m + 1 - q - q e of the q-grams
+                    edits = min(int(budget * len(part)), (len(part) - q) // q)
+                    self.windows.append(Region(item, s, part, edits, len(part) + 1 - q - q * edits))
         self.gap = max([w.edits for w in self.windows], default=0)
         self.width = 2 * (self.gap + 1)
         hashes = [_grams(w.codes, q) for w in self.windows]
@@ -246,8 +251,9 @@ def regions(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     text found in a whole document text within the edit budget.
 
     Texts are compared as words of letters and digits in lower case. Benchmark texts are cut into
-    windows of ``WINDOW`` characters, each ``STEP`` after the one before; a window may
-    have ``BUDGET`` of its length as edits. The benchmark is a stated query set, held against all
+    windows of ``WINDOW`` characters, each ``STEP`` after the one before, and of ``QUOTE`` characters, each
+    ``QUOTE_STEP`` after the one before; a window may have ``BUDGET`` of its length as edits. So any
+    verbatim quote of ``QUOTE`` characters is found, and one of 58 characters still is. The benchmark is a stated query set, held against all
     documents in passes of at most ``PASS_CHARACTERS`` characters, whatever its size.
 
     A null text on either side matches nothing, nor does one without a letter or digit; null
@@ -264,7 +270,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
+        index = Index(shared.value, quotes=True)
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -293,7 +299,7 @@ def _clean_pass(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
+        index = Index(shared.value, quotes=True)
         for b in batches:
             clean = [not text or next(_hits(text, index), None) is None for text in b.column("text").to_pylist()]
             yield b.filter(pa.array(clean, pa.bool_()))
