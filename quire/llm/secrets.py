@@ -85,7 +85,7 @@ def candidates(text: Column) -> list[Column]:
 
 def live_looking(value: Column) -> Column:
     """Long, of letters and digits, and not of few characters over and over."""
-    different = F.size(F.array_distinct(F.split(F.substring(value, 1, 256), "")))
+    different = F.size(F.array_distinct(F.split(value, "")))
     return (F.length(value) >= LIVE_LENGTH) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (different >= LIVE_DIFFERENT)
 
 
@@ -183,9 +183,9 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """The documents with every live-looking secret replaced by ``MASK``; copied examples and
-    weak values stay. ``n_chars``, if there, is brought up to date; other columns are kept.
+def redact(docs: DataFrame, weak: bool = False) -> DataFrame:
+    """The documents with every live-looking secret replaced by ``MASK``; copied examples stay, and
+    weak values do unless ``weak``, which masks every span of the three patterns but copied examples. ``n_chars``, if there, is brought up to date; other columns are kept.
 
     Documents with candidates are written once with row numbers, so that a row's spans find it again.
     """
@@ -194,8 +194,9 @@ def redact(docs: DataFrame) -> DataFrame:
     some = reduce(or_, [_worth(_text(docs), kind) for kind in KINDS])
     marked = written(docs.where(some).withColumn(row, F.monotonically_increasing_id()), "marked")
     scanned = marked.select(F.col(row).alias("row"), (F.col("source").cast("string") if "source" in names else F.lit(None).cast("string")).alias("repository"), *candidates(_text(marked)))
+    masked_classes = ["live", "weak"] if weak else ["live"]  # a bare string is never weak
     live = _classified(written(scanned, "scanned"))
-    live = live.select(F.col("row").alias(row), F.filter(F.concat(F.filter("spans", lambda s: s["rank"] < KINDS.index(COPY)), _added(F.col("spans"))), lambda s: s["class"] == "live").alias(row + "spans"))
+    live = live.select(F.col("row").alias(row), F.filter(F.concat(F.filter("spans", lambda s: s["rank"] < KINDS.index(COPY)), _added(F.col("spans"))), lambda s: s["class"].isin(masked_classes)).alias(row + "spans"))
     joined = marked.join(live.where(F.size(row + "spans") > 0), row, "left")
     hit = F.col(row + "spans").isNotNull()
     masked = joined.withColumn(row + "text", _masked(F.col("text"), F.array_sort(row + "spans")))
