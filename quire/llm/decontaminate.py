@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .frames import arrow_map, batch
+from .frames import arrow_map, batch, written
 
 #: Characters of a q-gram, of a window of a benchmark text, and from one window to the next.
 Q = 8
@@ -24,14 +25,19 @@ BUDGET = 0.1
 #: A benchmark text of fewer characters is matched as a whole only, without edits.
 SHORTEST = 24
 #: Benchmark characters that one pass over the documents looks for; more make more passes.
-PASS_CHARACTERS = 600_000
-#: Document characters that are scanned at once.
+PASS_CHARACTERS = 2_000_000
+#: Characters of a document, and of a benchmark text, whose q-grams are looked up at once.
 AT_ONCE = 500_000
+PIECE = 200_000
 #: Pairs of equal q-grams that are put in bands at once.
 PAIRS_AT_ONCE = 2_000_000
+#: Windows that are aligned at once.
+ALIGNED_AT_ONCE = 256
 
 _BASE = 0x9E3779B97F4A7C15
 _FILTER_BITS = 22
+#: Bits of a place in a piece and of a band in a cell's number.
+_PLACE, _BAND = 18, 20
 _FOLD: list[np.ndarray] = []
 
 
@@ -97,132 +103,203 @@ class Region:
 
 
 class Index:
-    """Windows of benchmark texts, and where their q-grams are."""
-
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, step: int = STEP, budget: float = BUDGET, quotes: bool = False):
-        """With ``quotes`` a text has the windows of ``QUOTE`` characters too."""
-        self.q, self.windows = q, []
-        self.short: list[tuple[int, np.ndarray]] = []
+    """Windows of benchmark texts, and where the texts' q-grams are."""
+
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, step: int = STEP, budget: float = BUDGET, quotes: bool = False, piece: int = PIECE, at_once: int = AT_ONCE):
+        """With ``quotes`` a text has the windows of ``QUOTE`` characters too. Texts of more than ``piece``
+        characters are looked up in overlapping pieces; every window lies in one of them."""
+        self.q = q
+        self.items: list[int] = []
+        self.codes: list[np.ndarray] = []
+        self.short: list[tuple[int, str]] = []
+        bounds: list[list[np.ndarray]] = []
         for item, text in items:
             codes, _ = folded(text)
-            n = len(codes)
-            if n < SHORTEST:
-                if n:
-                    self.short.append((item, codes))
+            if 0 < len(codes) < SHORTEST:
+                self.short.append((item, f" {_text(codes)} "))
+            if len(codes) < SHORTEST:
                 continue
-            for size, stride in ((window, step), (QUOTE, QUOTE_STEP))[: 2 if quotes and n > QUOTE else 1]:
-                starts = range(0, max(1, n - size + stride), stride) if n > size else [0]
-                for s in starts:
-                    s = max(0, min(s, n - size))
-                    part = codes[s : s + size]
-                    # the lemma: e edits leave at least m + 1 - q - q e of the q-grams
-                    edits = min(int(budget * len(part)), (len(part) - q) // q)
-                    self.windows.append(Region(item, s, part, edits, len(part) + 1 - q - q * edits))
-        self.gap = max([w.edits for w in self.windows], default=0)
+            for at in range(0, max(1, len(codes) - min(window, QUOTE) + 1), piece):
+                own = codes[at : at + piece + WINDOW]
+                windows = [_starts(len(codes), size, stride) for size, stride in ((window, step), (QUOTE, QUOTE_STEP))[: 2 if quotes and len(codes) > QUOTE else 1]]
+                sizes = np.repeat([min(len(codes), size) for size, _ in zip((window, QUOTE), windows)], list(map(len, windows)))
+                starts = np.concatenate(windows) - at
+                inside = (starts >= 0) & (starts < piece) & (starts + sizes <= len(own))
+                bounds.append([starts[inside], sizes[inside]])
+                self.items.append(item)
+                self.codes.append(own)
+        self.start, self.size = (np.concatenate([np.zeros(0, np.int64), *[b[i] for b in bounds]]).astype(np.int64) for i in (0, 1))
+        self.piece = np.repeat(np.arange(len(bounds)), [len(b[0]) for b in bounds])
+        #: the first window of each piece
+        self.first = np.searchsorted(self.piece, np.arange(len(bounds) + 1))
+        # the lemma: e edits leave at least m + 1 - q - q e of the q-grams
+        self.edits = np.minimum((budget * self.size).astype(np.int64), (self.size - q) // q)
+        self.least = self.size + 1 - q - q * self.edits
+        self.gap = int(self.edits.max(initial=0))
         self.width = 2 * (self.gap + 1)
-        hashes = [_grams(w.codes, q) for w in self.windows]
+        #: what a diagonal is raised by, so that it is not negative, and characters from one part of a document to the next
+        self.shift, self.stride = (-(-n // self.width) * self.width for n in (piece + WINDOW, at_once))
+        self.fewest = np.full(len(bounds), 1 << 30)
+        self.longest = np.zeros(len(bounds), np.int64)
+        np.minimum.at(self.fewest, self.piece, self.least)
+        np.maximum.at(self.longest, self.piece, self.size - q)
+        hashes = [_grams(c, q) for c in self.codes]
         grams = np.concatenate([np.zeros(0, np.uint64), *hashes])
         order = np.argsort(grams, kind="stable")
         self.grams = grams[order]
-        self.owner = np.repeat(np.arange(len(hashes)), list(map(len, hashes)))[order]
-        self.at = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(h)) for h in hashes]])[order]
-        self.least = np.array([w.least for w in self.windows], np.int64)
+        owner = np.repeat(np.arange(len(hashes)), list(map(len, hashes)))
+        at = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(h)) for h in hashes]])
+        self.cell = ((owner << (_PLACE + _BAND)) | at)[order]
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.grams >> np.uint64(64 - _FILTER_BITS)] = True
 
+    @property
+    def windows(self) -> list[Region]:
+        return [Region(self.items[p], s, self.codes[p][s : s + n], e, m) for p, s, n, e, m in zip(*(x.tolist() for x in (self.piece, self.start, self.size, self.edits, self.least)), strict=True)]
+
     def candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows and least diagonals of the bands that hold as many q-grams as a match must.
+        """Windows and least diagonals of the bands that hold as many of a window's q-grams as a match must.
 
-        A q-gram at i in the text and j in the window is on diagonal i - j. A match of at most e
+        A q-gram at i in the text and j in the benchmark text is on diagonal i - j. A match of at most e
         edits keeps to e + 1 diagonals. Bands start every ``width`` diagonals and
-        overlap by the largest e, so one band holds all q-grams that the match shares.
+        overlap by the largest e, so one band holds all q-grams that the match shares. A benchmark text's
+        q-grams in a band are in order of their place, so a window's are those between two places.
         """
-        grams = _grams(codes, self.q)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        overlap = 2 * WINDOW + 2 * self.width
+        for at in range(0, max(1, len(codes)), self.stride):
+            cells = self._cells(_grams(codes[at : at + self.stride + overlap], self.q))
+            piece = cells >> (_PLACE + _BAND)
+            last = np.arange(len(cells)) + self.fewest[piece] - 1
+            there = last < len(cells)
+            dense = np.flatnonzero(there)[cells[last[there]] - cells[there] <= self.longest[piece[there]]]
+            for band in _distinct(cells[dense] >> _PLACE).tolist():
+                low, high = np.searchsorted(cells, [band << _PLACE, (band + 1) << _PLACE])
+                places = cells[low:high] - (band << _PLACE)
+                own = slice(*self.first[(band >> _BAND) : (band >> _BAND) + 2])
+                n = np.searchsorted(places, self.start[own] + self.size[own] - self.q, "right") - np.searchsorted(places, self.start[own])
+                some = own.start + np.flatnonzero(n >= self.least[own])
+                diagonal = (band & ((1 << _BAND) - 1)) * self.width - self.shift + at
+                # the diagonal of the window's own beginning
+                found.append((some, diagonal + self.start[some]))
+        windows, diagonals = map(np.concatenate, zip(*found, strict=True))
+        if len(codes) > self.stride:  # parts overlap
+            windows, diagonals = np.unique(np.stack([windows, diagonals]), axis=1)
+        return windows, diagonals
+
+    def _cells(self, grams: np.ndarray) -> np.ndarray:
+        """Piece, band and place in the piece of each shared q-gram, in one number, each once: however
+        often a text repeats a q-gram, it preserves one place of the benchmark text."""
         some = np.flatnonzero(self.filter[grams >> np.uint64(64 - _FILTER_BITS)])
         low = np.searchsorted(self.grams, grams[some], "left")
-        high = np.searchsorted(self.grams, grams[some], "right")
-        n = high - low
+        n = np.searchsorted(self.grams, grams[some], "right") - low
         some, low, n = some[n > 0], low[n > 0], n[n > 0]
         ends = np.cumsum(n)
         cells = [np.zeros(0, np.int64)]
         done = 0
         while done < len(some):  # so many pairs at once as bound the memory
             to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS_AT_ONCE)))
-            cells.append(self._cells(some[done:to], low[done:to], n[done:to]))
+            cells.append(self._pairs(some[done:to], low[done:to], n[done:to]))
             done = to
-        cells = cells[1] if len(cells) == 2 else _distinct(np.concatenate(cells))
-        first = np.flatnonzero(np.diff(cells >> 7, prepend=-1))
-        count = np.diff(first, append=len(cells))
-        windows, bands = cells[first] >> 31, (cells[first] >> 7) & ((1 << 24) - 1)
-        kept = count >= self.least[windows]
-        return windows[kept], bands[kept] * self.width - WINDOW
-
-    def _cells(self, some: np.ndarray, low: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Window, band and place in the window of each shared q-gram, in one number, each once: however
-        often a text repeats a q-gram, it preserves one place of the window."""
-        place = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        diagonal = np.repeat(some, n) - self.at[place] + WINDOW
+        return cells[1] if len(cells) == 2 else _distinct(np.concatenate(cells))
+
+    def _pairs(self, some: np.ndarray, low: np.ndarray, n: np.ndarray) -> np.ndarray:
+        cell = self.cell[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        diagonal = np.repeat(some, n) - (cell & ((1 << _PLACE) - 1)) + self.shift
         band = diagonal // self.width
-        cell = (self.owner[place] << 31) | (band << 7) | self.at[place]
+        cell |= band << _PLACE
         before = (diagonal - band * self.width < self.gap) & (band > 0)
-        return _distinct(np.concatenate([cell, cell[before] - (1 << 7)]))
+        return _distinct(np.concatenate([cell, cell[before] - (1 << _PLACE)]))
 
     def regions(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(item, start, end, edits) of the verified matches in the folded characters of a text."""
+        """(item, start, end, edits) of the verified matches in the folded characters of a whole text."""
+        windows, diagonals = self.candidates(codes)
         spread = self.width + self.gap  # diagonals of a band
-        for number, diagonal in zip(*(x.tolist() for x in self.candidates(codes)), strict=True):
-            w = self.windows[number]
-            start = max(0, diagonal - w.edits)
-            found = aligned(w.codes, codes[start : max(0, diagonal + spread + len(w.codes) + w.edits)], diagonal - start - w.edits, spread + 2 * w.edits, w.edits)
-            if found:
-                yield w.item, start + found[0], start + found[1], found[2]
+        for size in np.unique(self.size[windows]).tolist():
+            own = np.flatnonzero(self.size[windows] == size)
+            for at in range(0, len(own), ALIGNED_AT_ONCE):
+                some = own[at : at + ALIGNED_AT_ONCE]
+                numbers = windows[some]
+                patterns = np.stack([self.codes[p][s : s + size] for p, s in zip(self.piece[numbers], self.start[numbers], strict=True)])
+                edits = int(self.edits[numbers[0]])  # as their size, so their edits
+                for i, start, end, cost in all_aligned(patterns, codes, diagonals[some] - edits, spread + 2 * edits, edits):
+                    yield self.items[self.piece[numbers[i]]], start, end, cost
         if self.short:
-            padded = " " + "".join(map(chr, codes)) + " "
+            padded = f" {_text(codes)} "
             for item, short in self.short:
-                at = padded.find(f" {''.join(map(chr, short))} ")
+                at = padded.find(short)
                 if at >= 0:
-                    yield item, at, at + len(short), 0
+                    yield item, at, at + len(short) - 2, 0
 
 
-def aligned(pattern: np.ndarray, text: np.ndarray, low: int, width: int, most: int) -> tuple[int, int, int] | None:
-    """The best alignment of the whole pattern with part of the text: (start, end, edits), if at most
-    ``most`` edits. Only cells on the diagonals (text less pattern position) from ``low`` to
-    ``low + width`` are filled; the text may be left out before and after at no cost.
+def _starts(n: int, size: int, stride: int) -> np.ndarray:
+    """Where the windows of a text of n characters begin; the last one ends with the text."""
+    return np.maximum(0, np.minimum(np.arange(0, max(1, n - size + stride) if n > size else 1, stride), n - size))
+
+
+def _text(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def all_aligned(patterns: np.ndarray, text: np.ndarray, lows: np.ndarray, width: int, most: int) -> Iterator[tuple[int, int, int, int]]:
+    """(pattern number, start, end, edits) of the patterns (of one length) that align as a whole with a
+    part of the text at no more than ``most`` edits, the best alignment of each.
+
+    Pattern i is held against the diagonals (text less pattern position) from ``lows[i]`` to
+    ``lows[i] + width`` only; the text may be left out before and after at no cost.
     """
-    exact = text.tobytes().find(pattern.tobytes())
-    if exact >= 0 and exact % 4 == 0:
-        return exact // 4, exact // 4 + len(pattern), 0
-    diagonals = np.arange(low, low + width + 1)
+    m = patterns.shape[1]
+    rest = []
+    for i, low in enumerate(lows.tolist()):
+        start = max(0, low)
+        # each character is four bytes, so a find may hit between two of them
+        exact = text[start : max(0, low + width + m)].tobytes().find(patterns[i].tobytes())
+        if exact >= 0 and exact % 4 == 0:
+            yield i, start + exact // 4, start + exact // 4 + m, 0
+        else:
+            rest.append(i)
+    number = np.array(rest, np.int64)
+    if not len(number):
+        return
     far = 1 << 20
-    cost = np.where((diagonals >= 0) & (diagonals <= len(text)), 0, far)
-    begin = diagonals.copy()
-    for i in range(1, len(pattern) + 1):
-        j = i + diagonals  # characters of the text that are used up
-        inside = (j >= 1) & (j <= len(text))
-        same = np.zeros(len(j), bool)
-        same[inside] = text[j[inside] - 1] == pattern[i - 1]
+    steps = np.arange(width + 1)
+    position = lows[number][:, None] + steps  # characters of the text that are used up
+    cost = np.where((position >= 0) & (position <= len(text)), 0, far)
+    begin = position.copy()
+    for j in range(m):
+        position += 1
+        inside = (position >= 1) & (position <= len(text))
+        same = inside & (text[np.clip(position - 1, 0, len(text) - 1)] == patterns[number, j][:, None])
         step = np.where(inside, cost + ~same, far)
-        up = np.append(cost[1:], far) + 1  # a pattern character more
-        best = np.minimum(step, up)
-        start = np.where(step <= up, begin, np.append(begin[1:], 0))
+        up = np.full_like(cost, far)
+        up[:, :-1] = cost[:, 1:] + 1  # a pattern character more
+        begin = np.where(step <= up, begin, np.append(begin[:, 1:], begin[:, -1:], axis=1))
         # text characters more: a running minimum along the diagonals
-        slope = best - np.arange(len(best))
-        least = np.minimum.accumulate(slope)
-        where = np.maximum.accumulate(np.where(slope == least, np.arange(len(best)), 0))
-        cost = least + np.arange(len(best))
-        begin = start[where]
-        cost = np.where((j >= 0) & (j <= len(text)), cost, far)
-        if cost.min() > most:
-            return None
-    at = int(cost.argmin())
-    return int(begin[at]), len(pattern) + low + at, int(cost[at])
+        slope = np.minimum(step, up) - steps
+        least = np.minimum.accumulate(slope, axis=1)
+        where = np.maximum.accumulate(np.where(slope == least, steps, 0), axis=1)
+        begin = np.take_along_axis(begin, where, axis=1)
+        cost = np.where((position >= 0) & (position <= len(text)), least + steps, far)
+        alive = cost.min(1) <= most
+        if not alive.all():
+            number, cost, begin, position = number[alive], cost[alive], begin[alive], position[alive]
+            if not len(number):
+                return
+    for row, at in enumerate(cost.argmin(1).tolist()):
+        yield int(number[row]), int(begin[row, at]), int(position[row, at]), int(cost[row, at])
+
+
+def aligned(pattern: np.ndarray, text: np.ndarray, low: int, width: int, most: int) -> tuple[int, int, int] | None:
+    """(start, end, edits) of one pattern's best alignment, as in ``all_aligned``."""
+    return next((hit[1:] for hit in all_aligned(pattern[None], text, np.array([low]), width, most)), None)
 
 
 def passes(benchmark: DataFrame, most: int = PASS_CHARACTERS) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in lists of bounded size; null texts have nothing to find."""
+    """The benchmark in lists of about ``most`` characters, all texts of one id in the same; null texts
+    have nothing to find."""
     some, size = [], 0
-    for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        if some and size + len(r["text"]) > most:
+    for r in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id").toLocalIterator():
+        if some and size + len(r["text"]) > most and some[-1][0] != r["item_id"]:
             yield some
             some, size = [], 0
         some.append((r["item_id"], r["text"]))
@@ -231,77 +308,92 @@ def passes(benchmark: DataFrame, most: int = PASS_CHARACTERS) -> Iterator[list[t
         yield some
 
 
-_SCHEMA = "doc_id long, item_id long, start long, end long, edits long"
-_ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "item_id", "start", "end", "edits")])
+_SCHEMA = "doc_id long, item_id long, n_regions long, start long, end long, edits long"
+_ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "item_id", "n_regions", "start", "end", "edits")])
+#: The index of the pass that a worker works on.
+_HELD: dict[str, Index] = {}
+
+
+def _index(number: str, shared) -> Index:
+    if number not in _HELD:
+        _HELD.clear()
+        _HELD[number] = Index(shared.value, quotes=True)
+    return _HELD[number]
 
 
-def _hits(text: str, index: Index) -> Iterator[tuple[int, int, int, int]]:
-    """(item, start, end, edits) in the text's own positions; texts are gone through in overlapping parts."""
+def hits(text: str, index: Index) -> list[tuple[int, int, int, int]]:
+    """(item, start, end, edits) of all regions, in the text's own positions (code points)."""
     codes, at = folded(text)
-    overlap = WINDOW * 2 + 8 * (index.gap + 1)  # more than a match and its band
-    for s in range(0, max(1, len(codes)), AT_ONCE):
-        part = codes[s : s + AT_ONCE + overlap]
-        for item, start, end, edits in index.regions(part):
-            if end > start:
-                yield item, int(at[s + start]), int(at[s + end - 1]) + 1, edits
+    return [(item, int(at[start]), int(at[end - 1]) + 1, edits) for item, start, end, edits in set(index.regions(codes)) if end > start]
 
 
-def regions(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, start, end (code points, end exclusive) and edits of every window of a benchmark
-    text found in a whole document text within the edit budget.
+def contaminated(docs: DataFrame, benchmark: DataFrame, most: int = PASS_CHARACTERS) -> DataFrame:
+    """A row for each document and benchmark item found in it: doc_id, item_id, n_regions, start, end (of all
+    its regions together; code points, end exclusive) and edits (of its best region).
 
+    A region is a window of a benchmark text found in the whole document text within the edit budget.
     Texts are compared as words of letters and digits in lower case. Benchmark texts are cut into
     windows of ``WINDOW`` characters, each ``STEP`` after the one before, and of ``QUOTE`` characters, each
     ``QUOTE_STEP`` after the one before; a window may have ``BUDGET`` of its length as edits. So any
-    verbatim quote of ``QUOTE`` characters is found, and one of 58 characters still is. The benchmark is a stated query set, held against all
-    documents in passes of at most ``PASS_CHARACTERS`` characters, whatever its size.
+    verbatim quote of ``QUOTE`` characters is found, and one of 58 characters still is. The benchmark
+    is a stated query set, held against all documents in passes of about ``most`` characters, whatever its
+    size; where there is more than one, each is written before the next begins.
 
-    A null text on either side matches nothing, nor does one without a letter or digit; null
-    ids are kept; repeated benchmark texts are all reported; empty tables give no rows; other
+    A null text on either side matches nothing, nor does one without a letter or digit. Documents are
+    kept apart even if their ids are equal or null: each row of ``docs`` has rows of its own. Repeated
+    benchmark texts are all reported, those of one item id in one row; empty tables give no rows; other
     columns are ignored.
     """
-    out = docs.sparkSession.createDataFrame([], _SCHEMA)
-    for items in passes(benchmark):
-        out = out.unionByName(_pass(docs, items))
-    return out
 
+    def found(index: Index, b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            of_item: dict[int | None, list] = {}
+            for item, *region in hits(text, index) if text else []:
+                of_item.setdefault(item, []).append(region)
+            for item, regions in of_item.items():
+                starts, ends, edits = zip(*regions, strict=True)
+                rows.append((doc_id, item, len(regions), min(starts), max(ends), min(edits)))
+        return batch(_ARROW, *(zip(*rows, strict=True) if rows else [[]] * len(_ARROW)))
 
-def _pass(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    docs = docs.select("doc_id", "text")
+    results = list(_passes(lambda _, shared: _scanned(docs, shared, found, _SCHEMA), docs, benchmark, most))
+    return reduce(DataFrame.unionByName, results) if results else docs.sparkSession.createDataFrame([], _SCHEMA)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value, quotes=True)
-        for b in batches:
-            rows = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                rows += [(doc_id, *hit) for hit in sorted(set(_hits(text, index)))] if text else []
-            yield batch(_ARROW, *(zip(*rows, strict=True) if rows else [[]] * 5))
 
-    return arrow_map(docs.select("doc_id", "text"), run, _SCHEMA)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, most: int = PASS_CHARACTERS) -> DataFrame:
+    """The documents, with all their columns, in which no benchmark text is found; else as ``contaminated``.
+    With more than one pass, what one keeps is written as the next one's documents."""
 
+    def clean(index: Index, b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.filter(pa.array([not text or next(index.regions(folded(text)[0]), None) is None for text in b.column("text").to_pylist()], pa.bool_()))
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each document and benchmark item found in it: doc_id, item_id, n_regions, start, end
-    (of all its regions together) and edits (of its best region)."""
-    return regions(docs, benchmark).groupBy("doc_id", "item_id").agg(
-        F.count("*").alias("n_regions"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("edits").alias("edits")
-    )
+    for docs in _passes(lambda docs, shared: _scanned(docs, shared, clean, docs.schema), docs, benchmark, most):  # noqa: B020
+        pass
+    return docs
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, with all their columns, in which no benchmark text is found."""
-    for items in passes(benchmark):
-        docs = _clean_pass(docs, items)
-    return docs
+def _passes(one, docs: DataFrame, benchmark: DataFrame, most: int) -> Iterator[DataFrame]:
+    """``one(result before, items)`` for each pass. All but the last are written, after which their items
+    are no longer held; the last is read when the result is."""
+    items = passes(benchmark, most)
+    now, more = next(items, None), next(items, None)
+    while now is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(now)
+        docs = one(docs, shared)
+        if more is not None:
+            docs = written(docs, "pass")
+            shared.destroy()
+        yield docs
+        now, more = more, next(items, None)
 
 
-def _clean_pass(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _scanned(docs: DataFrame, shared, scan, schema) -> DataFrame:
+    number = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value, quotes=True)
+        index = _index(number, shared)
         for b in batches:
-            clean = [not text or next(_hits(text, index), None) is None for text in b.column("text").to_pylist()]
-            yield b.filter(pa.array(clean, pa.bool_()))
+            yield scan(index, b)
 
-    return arrow_map(docs, run, docs.schema)
+    return arrow_map(docs, run, schema)
