@@ -24,6 +24,8 @@ LIKENESS = 0.8
 KEYS, ROWS = 32, 5
 SEED = 42
 _SHINGLES_AT_ONCE = 2048
+#: Shingles of the texts that one row holds on either side when all pairs of a key are compared.
+BLOCK = 500_000
 #: Shingle sets of texts that a task remembers while it verifies pairs.
 _REMEMBERED = 64
 
@@ -105,31 +107,115 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(arrow_map(both, run, "a long, b long"), "verified")
 
 
-def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node and class for the members of those keys that have more than one class yet."""
+    placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("class"))
+    several = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
+    return written(placed.join(written(several, "several"), "key", "left_semi"), "open")
+
+
+def _dealt(open_: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """key, i, j, node, class and left: the members of each key in blocks that meet in pairs.
+
+    A key's largest class is settled in itself, so what is compared are the others, among themselves
+    and with it. Blocks are numbered from those of the others on, and hold about ``block`` shingles each.
+    """
+    sized = written(open_.join(sizes, "node"), "sized")
+    of_class = sized.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    of_key = of_class.groupBy("key").agg(F.max(F.struct("n", "class", "size")).alias("most"), F.sum("size").alias("all"))
+    blocks = lambda size: F.ceil(size / block).cast("int")
+    of_key = of_key.select("key", F.col("most.class").alias("settled"), blocks(F.col("all") - F.col("most.size")).alias("others"), blocks(F.col("most.size")).alias("settled_blocks"))
+    each = sized.join(written(of_key, "keys"), "key").withColumn("other", F.col("class") != F.col("settled"))
+    deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    each = each.withColumn("own", F.when(F.col("other"), deal(F.col("others"))).otherwise(F.col("others") + deal(F.col("settled_blocks"))))
+    met = F.sequence(F.lit(0), F.when(F.col("other"), F.col("others") + F.col("settled_blocks")).otherwise(F.col("others")) - 1)
+    each = each.withColumn("with", F.explode(met))
+    return each.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "class", (F.col("own") <= F.col("with")).alias("left"))
+
+
+def _forest(nodes: list[int], kinds: list[int], left: list[bool], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join what all alike pairs of different classes join: one of the left side with one of
+    the right, or, where all are on the left, any two. No more come out than there are nodes."""
+    order = np.argsort(np.array(left, bool), kind="stable")  # the right side first
+    right = int((~np.array(left, bool)).sum())
+    against = order[:right] if right else order
+    vocabulary, place = np.unique(np.concatenate([sets[i] for i in against]), return_inverse=True)
+    by_shingle = np.argsort(place, kind="stable")
+    first = np.searchsorted(place[by_shingle], np.arange(len(vocabulary) + 1))
+    sizes = np.array([len(s) for s in sets])
+    holder = np.repeat(np.arange(len(against)), sizes[against])[by_shingle]
+    parent = {k: k for k in kinds}
+
+    def top(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    out = []
+    for i in order[right:] if right else order:
+        at = np.minimum(np.searchsorted(vocabulary, sets[i]), len(vocabulary) - 1)
+        at = at[vocabulary[at] == sets[i]]
+        n = first[at + 1] - first[at]
+        both = np.bincount(holder[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(against))
+        for j in against[5 * both >= 4 * (sizes[i] + sizes[against] - both)].tolist():
+            a, b = top(kinds[i]), top(kinds[j])
+            if a != b:
+                parent[a] = b
+                out.append((nodes[i], nodes[j]))
+    return out
+
+
+def _compared(open_: DataFrame, texts: DataFrame, block: int) -> DataFrame:
+    """Links (a, b) between classes of a key, found from the hashes of all shingles of their members."""
+    sets_schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for b in batches:
+            for node, text in zip(*columns(b, "node", "text"), strict=True):
+                own = np.unique(np.fromiter(map(digest, shingles(text)), np.uint64)).view(np.int64)
+                yield batch(sets_schema, [node], [len(own)], [np.sort(own)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                members = b.column("members").slice(i, 1).flatten()
+                node, kind, left = (members.field(n).to_pylist() for n in ("node", "class", "left"))
+                lists = members.field("hashes")
+                flat, ends = lists.flatten().to_numpy(), np.cumsum(np.asarray(lists.value_lengths()))
+                found = _forest(node, kind, left, np.split(flat, ends[:-1]))
+                yield batch(schema, *(zip(*found, strict=True) if found else [[], []]))
+
+    needed = texts.join(open_.select("node").distinct(), "node", "left_semi")
+    sets = written(arrow_map(needed, hashed, "node long, size long, hashes array<long>"), "sets")
+    met = _dealt(open_, sets.select("node", "size"), block).join(sets, "node")
+    rows = met.groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "class", "left", "hashes")).alias("members")).select("members")
+    return written(arrow_map(rows, run, "a long, b long"), "compared")
+
+
+def links(nodes: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) whose connected components are those of all alike pairs that share a key.
 
     ``nodes`` has node and keys, ``texts`` node and text, each node once. Every text is first held against
-    the least node of each of its keys, which joins the bulk of a large class in as many
-    pairs as it has members; then all pairs of a key that are not yet in one component are held
-    against each other.
+    the least node of each of its keys, then, in keys that still have several classes, those of other
+    classes against another node: that joins the bulk of a large class in a few pairs for each
+    member. In keys that have several classes even then, every text outside the largest class is compared
+    with all others where blocks of them meet, and what comes out of two blocks is a forest, never all pairs.
     """
     posted = nodes.select("node", F.explode("keys").alias("key"))
     shared = posted.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = written(posted.join(shared.hint("merge"), "key").select("key", "leader", "node"), "members")
+    members = written(posted.join(written(shared, "shared").hint("merge"), "key").select("key", "leader", "node"), "members")
     star = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    star = written(star, "star")
-    first = _verified(star, texts)
-    roots = components(first)
-    placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("class"))
-    several = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
-    open_ = written(placed.join(several, "key", "left_semi"), "open")
-    other = open_.select("key", F.col("node").alias("other"), F.col("class").alias("other_class"))
-    rest = open_.join(other, "key").where("node < other and class <> other_class").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    return first.unionByName(_verified(written(rest, "rest"), texts))
+    found = _verified(written(star, "star"), texts)
+    open_ = _open(members, components(found))
+    leaders = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("by"), "node", "class")).alias("leader"))
+    again = open_.join(written(leaders, "leaders"), "key").where("class <> leader.class").select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
+    found = written(found.unionByName(_verified(written(again, "again"), texts)), "found")
+    return found.unionByName(_compared(_open(members, components(found)), texts, block))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One document of each class of alike texts stays, that of the least id, with all its columns.
 
     Texts of equal shingle sets are brought to one node before keys are compared. Null texts are empty
@@ -153,6 +239,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     nodes = rows.groupBy("digest").agg(F.min("row").alias("node"), F.first("keys").alias("keys"), F.min(order).alias("first"))
     nodes = written(nodes.select("node", "keys", "first"), "nodes")
     texts = marked.select(F.col(row).alias("node"), F.col("text"))
-    roots = components(links(nodes, texts))
+    roots = components(links(nodes, texts, block))
     stay = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("class")).agg(F.min("first")["row"].alias(row)).select(row)
     return marked.join(stay, row, "left_semi").select(*[F.col(f"`{n}`") for n in names])

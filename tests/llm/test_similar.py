@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from quire.llm import similar
 from quire.llm.frames import table
@@ -62,3 +64,42 @@ def test_odd_rows(odd, empty):
     assert kept.columns == odd.columns
     assert sorted((r.doc_id for r in kept.collect()), key=lambda i: i or -1) == [None, 1, 2, 3, 4, 7, 8, 11]
     assert similar.keep_one(empty).count() == 0
+
+
+def test_a_large_group_of_near_copies(spark, empty):
+    """Copies of one text that are mostly not alike enough to each other; the blocks hold a few of them."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(90)]
+    texts = []
+    for _ in range(160):
+        copy = list(words)
+        for _ in range(rng.choice([1, 2, 2, 3, 3, 4, 6])):
+            copy[rng.randrange(len(copy))] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    pairs = _brute(texts)
+    assert len(pairs) < 0.4 * 160 * 159 / 2
+    docs = spark.createDataFrame([(i, t, "en", "a/x", len(t)) for i, t in enumerate(texts)], empty.schema)
+    kept = _kept(len(texts), pairs)
+    assert 10 < len(kept) < 130
+    assert {r.doc_id for r in similar.keep_one(docs, block=2000).collect()} == kept
+
+
+def test_forest_against_all_pairs():
+    rng = random.Random(7)
+    for both_sides in (False, True):
+        for _ in range(40):
+            n = rng.randint(2, 25)
+            sets = [np.unique(np.array([rng.randrange(30) + 100 * rng.randrange(3) for _ in range(rng.randint(1, 12))], np.int64)) for _ in range(n)]
+            sets += [np.union1d(sets[rng.randrange(n)], [999]) for _ in range(n)]
+            left = [not both_sides or rng.random() < 0.5 for _ in sets]
+            kinds = [rng.randrange(2 * n) for _ in sets]
+            wanted = {
+                (i, j)
+                for j in range(2 * n)
+                for i in range(j)
+                if (left[i] != left[j] or all(left)) and similar.alike(set(map(str.encode, map(str, sets[i].tolist()))), set(map(str.encode, map(str, sets[j].tolist()))))
+            }
+            same = [(kinds.index(k), i) for i, k in enumerate(kinds) if kinds.index(k) != i]
+            found = similar._forest(list(range(2 * n)), kinds, left, sets)
+            assert all((min(x), max(x)) in wanted for x in found)
+            assert _kept(2 * n, same + found) == _kept(2 * n, same + sorted(wanted))
