@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import hashlib
 
-
 from quire.llm import fingerprints, queries
 from quire.llm.frames import table
 
@@ -50,7 +49,7 @@ def test_odd_rows(spark, odd, empty):
     assert len(one) == 1 and one[0].near_next == 1.0
     found = {r.doc_id: r for r in fingerprints.fingerprints(odd).collect()}
     assert found[9].fingerprint == found[1].fingerprint and found[9].copies == 3
-    assert found[3].fingerprint == found[5].fingerprint and not found[3].collided
+    assert found[3].fingerprint == found[5].fingerprint
     assert fingerprints.fingerprints(empty).count() == 0
 
 
@@ -59,7 +58,28 @@ def test_canonical():
     assert fingerprints.canonical("é") == fingerprints.canonical("É")
 
 
-def test_equal_digests_with_different_bytes(spark):
-    rows = [("d", b"a"), ("d", b"a"), ("d", b"b"), ("e", b"c"), ("e", b"c")]
-    found = fingerprints.verified(spark.createDataFrame(rows, "digest string, packed binary")).orderBy("packed").collect()
-    assert [(bytes(r.packed), r.fingerprint) for r in found] == [(b"a", "d"), (b"b", "d-1")]
+def test_equal_digests_with_different_bytes(spark, small):
+    """Digests cut to one hex digit, so that nearly every bucket holds many forms."""
+    own = [(1, "abcd"), (2, "xyzz"), (3, "abxy"), (4, "ABXY "), (5, None), (None, "abcd")]
+    docs = spark.createDataFrame(own, "doc_id long, text string").unionByName(table(spark, small, "documents").selectExpr("doc_id + 100", "text").toDF("doc_id", "text"))
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    found = {r.doc_id: r for r in fingerprints.edits(docs, digits=1).collect()}
+    form_of, name_of = {}, {}
+    for n, (doc_id, text) in enumerate(rows):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + rows[(n + 1) % len(rows)][1][:half]
+        for name, form in ((found[doc_id].fingerprint, text), (found[doc_id].edited_fingerprint, edited)):
+            form = fingerprints.canonical(form)
+            assert form_of.setdefault(name, form) == form and name_of.setdefault(form, name) == name
+    assert found[1].edited_fingerprint == found[3].fingerprint == found[4].fingerprint and len(form_of) > 100
+    plain = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(docs, digits=1).collect()}
+    assert len(set(plain.values())) == len({fingerprints.canonical(t) for _, t in rows})
+
+
+def test_one_collision_is_enough(spark):
+    packed = spark.createDataFrame([("d", b"a"), ("d", b"b"), ("e", b"c"), ("e", b"c")], "digest string, packed binary")
+    forms = spark.createDataFrame([("d", 1, 1), ("d", 2, 1), ("e", 3, 3), ("e", 3, 3)], "digest string, check_a long, check_b long")
+    assert sorted(map(tuple, fingerprints.collisions(packed, forms).collect())) == [("d", 1, 1, "d"), ("d", 2, 1, "d-1")]
+    assert fingerprints.collisions(packed.where("digest = 'e'"), forms.where("digest = 'e'")) is None
+    edited = spark.createDataFrame([("e", 3, 3), ("e", 4, 3)], forms.schema)  # only an edited text differs
+    assert fingerprints.collisions(packed.where("digest = 'e'"), edited).count() == 2
