@@ -21,6 +21,8 @@ UNIFORM = 1.0
 BACK_OFF = 4.0
 #: Tokens whose bigrams a worker counts before it hands the counts on.
 COUNTED_AT_ONCE = 4_000_000
+#: Target ids that are sent to every executor; with more, the texts are dealt by id and merged with them.
+BROADCAST_IDS = 2_000_000
 #: First token of every text, as the context of the second.
 BEGIN = 0
 
@@ -115,7 +117,19 @@ class Models:
         return tuple(self.loss(i, pairs, np.where(known, self.bigram[i][at], 0) if len(self.pairs) else np.zeros(len(pairs), np.float32)) for i in (0, 1))
 
 
-def score(docs: DataFrame, target_ids: DataFrame, vocabulary: str = BYTE_VOCABULARY, hot: int = HOT) -> DataFrame:
+def in_target(docs: DataFrame, target_ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """text and in_target of every document: whether its doc_id is among ``target_ids``; null ids never are.
+
+    The ids are counted first. Up to ``most`` (16 bytes each, or so) they are broadcast and no text moves; with more,
+    both sides are merged by id.
+    """
+    ids = target_ids.select(F.col("doc_id").alias("target_id")).where("target_id is not null").distinct()
+    hint = "broadcast" if ids.limit(most + 1).count() <= most else "merge"
+    marked = docs.select("doc_id", "text").join(ids.withColumn("in_target", F.lit(True)).hint(hint), F.col("doc_id") == F.col("target_id"), "left")
+    return marked.select("text", F.coalesce("in_target", F.lit(False)).alias("in_target"))
+
+
+def score(docs: DataFrame, target_ids: DataFrame, vocabulary: str = BYTE_VOCABULARY, hot: int = HOT, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score of every whole text.
 
     The target model is fitted on the documents whose doc_id is in ``target_ids``, the
@@ -128,11 +142,8 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary: str = BYTE_VOCABUL
     target; repeated rows count as often as they occur; an empty target or table makes
     models of the pseudo-counts alone; other columns are ignored.
     """
-    ids = target_ids.select(F.col("doc_id").alias("target_id")).where("target_id is not null").distinct()
     own = docs.select("doc_id", "text")
-    # by merge at every size: how many ids there are has no bound, and one plan scales as it is measured
-    marked = own.join(ids.withColumn("in_target", F.lit(True)).hint("merge"), own["doc_id"] == ids["target_id"], "left").select("doc_id", "text", F.coalesce("in_target", F.lit(False)).alias("in_target"))
-    counted = written(counts(marked, vocabulary), "counts")
+    counted = written(counts(in_target(docs, target_ids, broadcast_ids), vocabulary), "counts")
     single = counted.where(F.col("cell") < 2 * IDS)
     pairs = counted.where(F.col("cell") >= 2 * IDS)
     most = pairs.orderBy(F.desc(F.col("target") + F.col("background")), "cell").limit(hot)

@@ -1,0 +1,80 @@
+"""Scores against a bigram model of plain dictionaries, and odd rows."""
+
+from __future__ import annotations
+
+import math
+from collections import Counter
+
+import pytest
+from tokenizers import Tokenizer
+
+from quire.llm import lm_score, tokens
+from quire.llm.frames import table
+
+
+def _by_hand(rows, target):
+    """(n_tokens, target_loss, background_loss) of each row (doc_id, text)."""
+    library = Tokenizer.from_file(tokens.vocabulary(tokens.BYTE_VOCABULARY))
+    encoded = [library.encode(t or "", add_special_tokens=False).ids for _, t in rows]
+    models = []
+    for of_target in (True, False):
+        own = [ids for (i, _), ids in zip(rows, encoded, strict=True) if (i in target) == of_target]
+        models.append((Counter(t for ids in own for t in ids), Counter(c for ids in own for c in [0, *ids][:-1]), Counter(x for ids in own for x in zip([0, *ids], ids))))
+    totals = [max(1, sum(m[0].values())) for m in models]
+    out = []
+    for ids in encoded:
+        losses = []
+        for (unigram, context, bigram), scale in zip(models, (1, totals[0] / totals[1]), strict=True):
+            everything = sum(unigram.values()) * scale
+            loss = 0.0
+            for c, t in zip([0, *ids], ids):
+                p = (unigram[t] * scale + lm_score.UNIFORM / lm_score.IDS * 1000) / (everything + lm_score.UNIFORM * 1000)
+                loss -= math.log((bigram[c, t] * scale + lm_score.BACK_OFF * p) / (context[c] * scale + lm_score.BACK_OFF))
+            losses.append(loss / len(ids) if ids else None)
+        out.append((len(ids), *losses))
+    return out
+
+
+def _same(found, expected):
+    return found == expected or (found is not None and expected is not None and abs(found - expected) < 1e-6 * max(1, abs(expected)))
+
+
+def _check(docs, target_ids, rows, target, **how):
+    found = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss, r.score) for r in lm_score.score(docs, target_ids, **how).collect()), key=repr)
+    expected = sorted(((i, n, t, b, None if t is None else t - b) for (i, _), (n, t, b) in zip(rows, _by_hand(rows, target), strict=True)), key=lambda r: repr((r[0], r[1])))
+    assert len(found) == len(expected)
+    order = lambda r: (repr(r[0]), r[1], r[2] or 0)
+    for f, e in zip(sorted(found, key=order), sorted(expected, key=order), strict=True):
+        assert f[:2] == e[:2] and all(map(_same, f[2:], e[2:])), (f, e)
+
+
+@pytest.mark.parametrize("how", [{}, {"hot": 0}, {"hot": 50}, {"broadcast_ids": 3}])
+def test_losses_against_dictionaries(spark, small, how):
+    docs = table(spark, small, "documents")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    target = {i for i, _ in rows if i % 3 == 0}
+    _check(docs, spark.createDataFrame([(i,) for i in target], "doc_id long"), rows, target, **how)
+
+
+def test_odd_rows(spark, odd, empty):
+    from .conftest import ROWS
+
+    odd = odd.withColumn("in_target", odd["text"]).withColumn("pair", odd["text"]).withColumn("target_id", odd["text"])
+    rows = [r[:2] for r in ROWS]
+    ids = spark.createDataFrame([(9,), (9,), (2,), (None,), (12345,)], "doc_id long")
+    for how in ({}, {"hot": 0}, {"broadcast_ids": 0}):
+        _check(odd, ids, rows, {9, 2}, **how)
+    _check(odd, ids.where("false"), rows, set())
+    assert lm_score.score(empty, ids).count() == 0 and lm_score.score(empty, ids.where("false")).count() == 0
+
+
+def test_a_very_long_text_and_repeated_rows(spark):
+    rows = [(1, "a few words, over and over " * 60_000), (2, "a few"), (2, "a few"), (None, "words")]
+    _check(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(2,)], "doc_id long"), rows, {2})
+
+
+def test_texts_do_not_move_for_few_ids(spark, small):
+    docs, ids = table(spark, small, "documents"), table(spark, small, "labels").select("doc_id")
+    plan = lm_score.in_target(docs, ids)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "SortMergeJoin" in lm_score.in_target(docs, ids, 3)._jdf.queryExecution().executedPlan().toString()
