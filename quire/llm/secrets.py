@@ -138,7 +138,8 @@ def _classified(scanned: DataFrame) -> DataFrame:
     spans = F.concat(ASSIGN, ACCESS, HEX, COPY)
     each = scanned.where(F.size(spans) > 0).select("row", "repository", F.explode(spans).alias("span"))
     each = each.select("row", "repository", F.col("span.start").alias("start"), F.col("span.rank").alias("rank"), F.col("span.end").alias("end"), F.col("span.value").alias("value"))
-    known = ownership(each)
+    # written, so that the rows of a value that is everywhere can be split when they meet it
+    known = written(ownership(each), "known")
     judged = each.withColumn("hash", F.sha2("value", 256)).join(known, "hash")
     judged = judged.where((F.col("rank") < KINDS.index(COPY)) | (F.col("class") == "live"))
     return judged.select("row", F.struct("start", "rank", "end", "class", "owners", "hash").alias("span")).groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("spans"))
@@ -187,22 +188,24 @@ def redact(docs: DataFrame, weak: bool = False) -> DataFrame:
     """The documents with every live-looking secret replaced by ``MASK``; copied examples stay, and
     weak values do unless ``weak``, which masks every span of the three patterns but copied examples. ``n_chars``, if there, is brought up to date; other columns are kept.
 
-    Documents with candidates are written once with row numbers, so that a row's spans find it again.
+    Documents with candidates are written once with row numbers, so that a row's spans find it again. A null text
+    stays null; null ids, repeated rows and columns of any name are kept; an empty table gives no rows.
     """
     names = docs.columns
     row = unused([*names, "row", "repository", *KINDS, "spans"], "_row")
+    own, changed_text = unused([*names, row], "_spans"), unused([*names, row], "_text")
     some = reduce(or_, [_worth(_text(docs), kind) for kind in KINDS])
     marked = written(docs.where(some).withColumn(row, F.monotonically_increasing_id()), "marked")
     scanned = marked.select(F.col(row).alias("row"), (F.col("source").cast("string") if "source" in names else F.lit(None).cast("string")).alias("repository"), *candidates(_text(marked)))
     masked_classes = ["live", "weak"] if weak else ["live"]  # a bare string is never weak
     live = _classified(written(scanned, "scanned"))
-    live = live.select(F.col("row").alias(row), F.filter(F.concat(F.filter("spans", lambda s: s["rank"] < KINDS.index(COPY)), _added(F.col("spans"))), lambda s: s["class"].isin(masked_classes)).alias(row + "spans"))
-    joined = marked.join(live.where(F.size(row + "spans") > 0), row, "left")
-    hit = F.col(row + "spans").isNotNull()
-    masked = joined.withColumn(row + "text", _masked(F.col("text"), F.array_sort(row + "spans")))
-    changed = {"text": F.when(hit, F.col(row + "text")).otherwise(F.col("text"))}
+    live = live.select(F.col("row").alias(row), F.filter(F.concat(F.filter("spans", lambda s: s["rank"] < KINDS.index(COPY)), _added(F.col("spans"))), lambda s: s["class"].isin(masked_classes)).alias(own))
+    joined = marked.join(live.where(F.size(own) > 0), row, "left")
+    hit = F.col(own).isNotNull()
+    masked = joined.withColumn(changed_text, _masked(F.col("text"), F.array_sort(own)))
+    changed = {"text": F.when(hit, F.col(changed_text)).otherwise(F.col("text"))}
     if "n_chars" in names:
-        changed["n_chars"] = F.when(hit, F.length(row + "text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(hit, F.length(changed_text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     out = masked.select(*[changed.get(n, F.col(f"`{n}`")).alias(n) for n in names])
     return docs.where(~some).unionByName(out)
 

@@ -27,7 +27,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(ROWS, SCHEMA)
-    for name in ("row", "fp", "digest", "key", "shard", "start", "spans", "part", "text_", "repository", "hash"):
+    for name in ("row", "fp", "digest", "key", "shard", "start", "spans", "part", "text_", "repository", "hash", "_row", "_rowtext", "_rowspans", "_text", "_spans"):
         df = df.withColumn(name, F.lit("clash"))
     return df
 

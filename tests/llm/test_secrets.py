@@ -81,6 +81,39 @@ def test_redact_keeps_columns(odd, empty):
     assert secrets.redact(empty).count() == 0
 
 
+def test_redact_keeps_columns_of_its_own_names(spark):
+    rows = [(1, f"token = {KEY}", "mine", "s1", "r1"), (2, "plain", "other", "s2", "r2"), (None, None, None, "s3", "r3"), (1, f"token = {KEY}", "mine", "s1", "r1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text string, _spans string, _row string")
+    kept = sorted(map(tuple, secrets.redact(docs, weak=True).collect()), key=repr)
+    assert kept == sorted(((i, t and t.replace(f"token = {KEY}", secrets.MASK), *more) for i, t, *more in rows), key=repr)
+
+
+def test_ownership_against_plain_counts(spark, empty):
+    """A value that a third of all rows have, some of few repositories, some of one owner's many."""
+    everywhere, pair, weak = "Q1w2" * 2 + "E3r4T5y6", "Aa1Bb2Cc3Dd4Ee5F", "abcdefg"
+    rows = []
+    for i in range(600):
+        text = f"see token={everywhere} there" if i % 3 == 0 else f"secret: '{pair}'" if i % 100 == 1 else f"x {pair} {weak}" if i % 50 == 2 else "passwd=" + weak if i % 7 == 0 else "nothing"
+        rows.append((i, text, "en", None if i % 90 == 0 else f"owner{i % 100 // 60}/r{i % 100}", 0))
+    docs = spark.createDataFrame(rows, empty.schema)
+    found = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    spans = {}
+    for i, text, _, source, _ in rows:
+        for m in ASSIGN.finditer(text):
+            spans.setdefault(m[2], []).append(source)
+        if f"x {pair}" in text:
+            spans.setdefault(pair, []).append(source)
+    for i, text, *_ in rows:
+        for s in found[i].found:
+            value = text[s.start : s.end].split("=")[-1].split("'")[-1] if s.rank == 0 else text[s.start : s.end]
+            owners = {(x or "").split("/")[0] for x in spans[value]}
+            assert s.owners == len(owners) and s.hash == hashlib.sha256(value.encode()).hexdigest()
+            assert s["class"] == ("example" if len(owners) >= secrets.COPIED_OWNERS else "weak" if value == weak else "live")
+    classes = {s["class"] for r in found.values() for s in r.found}
+    assert classes == {"example", "live", "weak"} and any("copy" in r.spans for r in found.values())
+
+
 def test_no_python_in_the_plan(spark, small):
-    plan = secrets.redact(table(spark, small, "documents"))._jdf.queryExecution().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
+    docs = table(spark, small, "documents")
+    for out in (secrets.redact(docs), secrets.scan(docs), secrets.ownership(docs.selectExpr("doc_id as row", "text as value", "1 as rank", "source as repository"))):
+        assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().toString())

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 
+import xxhash
 from pyspark.sql import functions as F
 
 from quire.llm import queries, sharding
@@ -45,3 +47,26 @@ def test_weights_and_growth(spark):
     assert both.where("g3 <> s4").count() == 0
     assert both.where("s3 <> s4 and s4 <> 3").count() == 0
     assert abs(both.where("s3 <> s4").count() / 20000 - 0.25) < 0.02
+
+
+def _best(key, weights):
+    """The shard of the highest score, by hand."""
+    scores = []
+    for shard, weight in enumerate(weights):
+        h = xxhash.xxh64_intdigest(b"rendezvous", 42)
+        h = xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), h)
+        h = xxhash.xxh64_intdigest(key.encode(), h)
+        scores.append((-weight / math.log(((h >> 11) + 0.5) / 2**53), shard))
+    return max(scores)[1]
+
+
+def test_shards_against_a_plain_argmax(spark):
+    keys = spark.range(-50, 400).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    for weights in ([1.0] * 40, [1.0, 2.5, 0.5], [3.0]):
+        for r in sharding.assign(keys, weights=weights).collect():
+            assert (r.shard, r.grown_shard) == (_best(str(r.doc_id), weights), _best(str(r.doc_id), [*weights, 1.0]))
+
+
+def test_of_equal_scores_the_higher_shard(spark):
+    row = spark.range(5).select(sharding.choose(F.col("id").cast("string"), {0: 0.0, 2: 0.0, 1: 0.0}).alias("s"))
+    assert {r.s for r in row.collect()} == {2}
