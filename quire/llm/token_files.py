@@ -21,7 +21,7 @@ INDEX_ROWS = 1000
 FALSE_POSITIVES = 0.01
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str = WORD_VOCABULARY, files: int | None = None) -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary: str = WORD_VOCABULARY, files: int | None = None, stripe_bytes: int = STRIPE_BYTES) -> None:
     """Encode whole texts, append the end id and write them in ascending doc_id order.
 
     The rows are dealt to files by ranges of doc_id and sorted within each; part numbers follow
@@ -52,7 +52,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = WORD_VOCABUL
     rows = docs.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     (
         arrow_map(rows, run, "doc_id long, local_start long, n_tokens long, ids array<int>")
-        .write.option("orc.stripe.size", STRIPE_BYTES)
+        .write.option("orc.stripe.size", stripe_bytes)
         .option("orc.row.index.stride", INDEX_ROWS)
         .option("orc.create.index", "true")
         .option("orc.bloom.filter.columns", "doc_id")
