@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import decontaminate, language_id, packing, secrets, similar
 from quire.llm.frames import arrow_map, shared_folder, table
 
-#: Least share of a text that its language must have.
-LEAST_SHARE = 0.5
+#: Nats a letter that a text may surprise its languages by: what guessing among 64 letters does.
+MOST_SURPRISE = math.log(64)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that has half of their words, go.
+    """Documents without a letter go, and those that no mixture of the languages explains better than
+    guessing at letters does; a text in several languages stays, whatever their shares.
 
-    The models are fitted on the labelled documents that come in; the columns stay as they are.
-    Where none is labelled, only documents without a letter go.
+    The models are fitted on the labelled documents that come in; the columns stay as they are, and so do null
+    ids and repeated rows. A null text has no letter. Where no document is labelled, only documents without a letter go.
     """
     model = language_id.fit(docs)
     none = not model.languages
@@ -25,8 +28,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
         for b in batches:
             texts = b.column("text").to_pylist()
-            found = language_id.judge(texts, model)
-            keep = [none and any(map(str.isalpha, t or "")) or x[0] != language_id.UNKNOWN and x[1] >= LEAST_SHARE for t, x in zip(texts, found, strict=True)]
+            if none:
+                keep = [any(map(str.isalpha, t or "")) for t in texts]
+            else:
+                keep = [surprise is not None and surprise <= MOST_SURPRISE for *_, surprise in language_id.judge(texts, model)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return arrow_map(docs, run, docs.schema)
