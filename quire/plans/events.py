@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,13 +57,13 @@ def scaled_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mean_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grouped-aggregate pandas function."""
+    """A grouped-aggregate pandas function. It has a group's values at once, so it is grouped by user, not by type."""
 
     @F.pandas_udf("double")
     def middle(value: pd.Series) -> float:
         return float(value.median())
 
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(middle("value"), 4).alias("mid"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(middle("value"), 4).alias("mid"))
 
 
 def split_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +80,47 @@ def split_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT digit, count(*) AS n, max(nth) AS deepest FROM quire_events, LATERAL quire_digits(props) GROUP BY digit")
 
 
+def mapped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pandas iterator function: what a file-wide set-up would be shared by, with rows left out and added."""
+
+    def large(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            some = frame[frame["value"] > 100.0]
+            yield pd.DataFrame({"event_id": some["event_id"], "above": (some["value"] - 100.0).round(4)})
+
+    return table(spark, sf_dir, "events").select("event_id", "value").mapInPandas(large, "event_id long, above double")
+
+
+def arrow_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scalar function on Arrow arrays."""
+
+    @F.arrow_udf("long")
+    def cents(value: pa.Array) -> pa.Array:
+        return pc.cast(pc.round(pc.multiply(value, 100.0)), pa.int64())
+
+    return table(spark, sf_dir, "events").select("event_id", cents("value").alias("cents"))
+
+
+def paired_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables grouped together: each user's clicks beside their purchases, users of only one included."""
+    events = table(spark, sf_dir, "events")
+    clicked = events.where("event_type = 'click'").select("user_id", "value").groupBy("user_id")
+    bought = events.where("event_type = 'purchase'").select(F.col("user_id").alias("buyer"), F.col("value").alias("price")).groupBy("buyer")
+
+    def paired(key: tuple, clicks: pd.DataFrame, purchases: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": [key[0]], "clicks": [len(clicks)], "purchases": [len(purchases)], "spent": [round(float(purchases["price"].sum()), 2) if len(purchases) else 0.0]})
+
+    return clicked.cogroup(bought).applyInPandas(paired, "user_id long, clicks long, purchases long, spent double")
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scalar and a table function written in SQL, which Spark inlines."""
+    table(spark, sf_dir, "events").createOrReplaceTempView("quire_events")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION quire_band(v DOUBLE) RETURNS STRING RETURN CASE WHEN v < 50 THEN 'low' WHEN v < 200 THEN 'middle' ELSE 'high' END")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION quire_of_type(t STRING) RETURNS TABLE (user_id BIGINT, value DOUBLE) RETURN SELECT user_id, value FROM quire_events WHERE event_type = t")
+    return spark.sql("SELECT quire_band(value) AS band, count(*) AS n, count(DISTINCT user_id) AS users FROM quire_of_type('purchase') GROUP BY 1")
+
+
 QUERIES = {
     "tumbling_windows": (tumbling_windows, "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"),
     "sliding_windows": (
@@ -95,6 +140,14 @@ SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_e
 SELECT user_id, event_type AS top_type, round(CAST(n AS DOUBLE) / total, 6) AS share FROM r WHERE nth = 1""",
     ),
     "scaled_values": (scaled_values, "SELECT event_id, round_even(value * 1.5, 4) AS scaled FROM events"),
-    "mean_values": (mean_values, "SELECT event_type, round(median(value), 4) AS mid FROM events GROUP BY 1"),
+    "mean_values": (mean_values, "SELECT user_id, round(median(value), 4) AS mid FROM events GROUP BY 1"),
+    "mapped_values": (mapped_values, "SELECT event_id, round_even(value - 100.0, 4) AS above FROM events WHERE value > 100.0"),
+    "arrow_values": (arrow_values, "SELECT event_id, CAST(round_even(value * 100.0, 0) AS BIGINT) AS cents FROM events"),
+    "paired_users": (
+        paired_users,
+        """SELECT user_id, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'purchase') AS purchases, coalesce(round(sum(value) FILTER (event_type = 'purchase'), 2), 0.0) AS spent
+FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1""",
+    ),
+    "sql_functions": (sql_functions, "SELECT CASE WHEN value < 50 THEN 'low' WHEN value < 200 THEN 'middle' ELSE 'high' END AS band, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE event_type = 'purchase' GROUP BY 1"),
     "split_properties": (split_properties, "SELECT d AS digit, count(*) AS n, max(nth) AS deepest FROM (SELECT unnest(regexp_extract_all(props, '[0-9]')) AS d, generate_subscripts(regexp_extract_all(props, '[0-9]'), 1) - 1 AS nth FROM events) GROUP BY 1"),
 }

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fields import PATTERNS, find, is_valid
+from ..functions.fields import PATTERNS, find, holds, is_valid
 from ..sources.tables import table
 
 
@@ -28,9 +28,8 @@ def field_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def routed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A queue for each document by what it holds, first rule first, and the queues' sizes by language."""
     text = F.col("text")
-    has = {k: F.size(find(text, k)) > 0 for k in PATTERNS}
-    rows = F.size(F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit("|"))))
-    queue = F.when(has["card"], "payment").when(has["email"] | has["phone"], "contact").when(has["ipv4"], "technical").when(rows > 0, "tabular").when(has["licence"], "legal").otherwise("general")
+    has = {k: holds(text, k) for k in PATTERNS}
+    queue = F.when(has["card"], "payment").when(has["email"] | has["phone"], "contact").when(has["ipv4"], "technical").when(F.contains(text, F.lit("|")), "tabular").when(has["licence"], "legal").otherwise("general")
     return table(spark, sf_dir, "documents").groupBy("lang", queue.alias("queue")).agg(F.count("*").alias("n"))
 
 

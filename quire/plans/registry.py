@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, fields, pages, relational, text
+from . import events, fields, formats, links, measures, more_relational, pages, relational, streams, text
 
-_MODULES = [pages, text, fields, relational, events]
+_MODULES = [formats, pages, text, fields, measures, links, relational, more_relational, events, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -59,6 +59,8 @@ def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact statistics of five groups. Sums and distinct counts are partial; an exact percentile keeps a count for
+    each different price of a group, merged from all tasks (``distinct_estimates`` has bounded ones)."""
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
         F.round(F.stddev("o_totalprice"), 4).alias("sd"), F.round(F.percentile("o_totalprice", F.lit(0.25)), 4).alias("q1"),
         F.round(F.median("o_totalprice"), 4).alias("mid"), F.countDistinct("o_custkey").alias("customers"), F.round(F.corr("o_totalprice", "o_custkey"), 6).alias("corr"),
@@ -79,15 +81,6 @@ def line_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupingSets([["l_returnflag"], ["l_linestatus"], []], "l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
 
 
-def distinct_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketches beside exact counts; a sketch is a few kilobytes a group, whatever the group's size."""
-    events = table(spark, sf_dir, "events")
-    return events.groupBy("event_type").agg(
-        F.countDistinct("user_id").alias("users"), F.approx_count_distinct("user_id", 0.02).alias("approx_users"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("user_id")).alias("hll_users"), F.percentile_approx("value", 0.5, 1000).alias("approx_median"),
-    )
-
-
 def customer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     price = F.col("o_totalprice")
@@ -99,7 +92,7 @@ def customer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts within 10 of a part's price and of its brand: a frame by range, not by rows."""
+    """Parts within 10 of a part's price and of its brand: a frame by range, not by rows. A brand is sorted in one task."""
     cents = F.round(F.col("p_retailprice") * 100).cast("long")
     by = Window.partitionBy("p_brand").orderBy("cents").rangeBetween(-1000, 1000)
     return table(spark, sf_dir, "part").withColumn("cents", cents).select("p_partkey", F.count("*").over(by).alias("near"), F.max("cents").over(by).alias("top"))
@@ -218,7 +211,6 @@ QUERIES = {
     "order_rollup": (order_rollup, "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping_id(o_orderstatus, o_orderpriority) AS BIGINT) AS level FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)"),
     "order_cube": (order_cube, "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(max(o_totalprice), 2) AS top FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)"),
     "line_grouping_sets": (line_grouping_sets, "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())"),
-    "distinct_estimates": (distinct_estimates, None),
     "customer_windows": (
         customer_windows,
         """SELECT o_orderkey, row_number() OVER w AS nth, dense_rank() OVER w AS dense, ntile(4) OVER w AS quarter, round(lag(o_totalprice) OVER w, 2) AS before,

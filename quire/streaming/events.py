@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 #: Watermarks need ``timestamp``; the tables hold ``timestamp_ntz``.
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -57,3 +58,25 @@ def running_totals(events: DataFrame) -> DataFrame:
 
     schema = "user_id long, n long, total double"
     return events.groupBy("user_id").applyInPandasWithState(update, schema, "n long, total double", "update", GroupStateTimeout.NoTimeout)
+
+
+class Balance(StatefulProcessor):
+    """Per key: how many rows there were and the sum of their values, told after each batch that has some."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.balance = handle.getValueState("balance", "n long, total double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        n, total = self.balance.get() if self.balance.exists() else (0, 0.0)
+        for frame in rows:
+            n, total = n + len(frame), total + float(frame["value"].sum())
+        self.balance.update((n, total))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
+
+    def close(self) -> None:
+        pass
+
+
+def balances(events: DataFrame) -> DataFrame:
+    """As ``running_totals``, in Spark 4's form of arbitrary state, which wants the RocksDB state store."""
+    return events.groupBy("user_id").transformWithStateInPandas(Balance(), "user_id long, n long, total double", "Append", "None")

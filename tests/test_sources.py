@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import struct
+import zlib
+
 import pytest
 
 from quire.sources import files
@@ -44,3 +47,24 @@ def test_records(spark, tmp_path, splits):
     assert [r.text for r in found] == records
     path.write_bytes(b"")
     assert spark.read.format("records").option("path", str(path)).load().count() == 0
+
+
+def test_images(spark, tmp_path):
+    """A picture of 3 x 2 pixels, written by hand as PNG, and a file that is none."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    pixels = b"".join(b"\0" + bytes(range(9 * y, 9 * y + 9)) for y in range(2))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(pixels)) + chunk(b"IEND", b"")
+    (tmp_path / "a.png").write_bytes(png)
+    (tmp_path / "b.png").write_bytes(b"not a picture")
+    found = files.read_images(spark, str(tmp_path)).collect()
+    assert [(r.width, r.height, r.channels) for r in found] == [(3, 2, 3)]
+    assert bytes(found[0].pixels)[:3] == bytes([2, 1, 0])  # blue first
+
+
+def test_a_folder_of_records(spark, tmp_path):
+    spark.dataSource.register(files.RecordSource)
+    texts = [f"text {i}\nof two lines" for i in range(50)] + ["", "é"]
+    files.write_records(spark.createDataFrame([(t,) for t in texts], "t string").repartition(3), str(tmp_path / "r"))
+    for splits in (1, 7):
+        found = spark.read.format("records").option("path", str(tmp_path / "r")).option("splits", splits).load().collect()
+        assert sorted(r.text for r in found) == sorted(texts)
