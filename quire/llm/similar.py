@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import components
+from ..operators.graphs import components
 from .frames import arrow_map, batch, columns, unused, written
 from .simhash import _LOWER
 
@@ -206,6 +206,8 @@ def links(nodes: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
     posted = nodes.select("node", F.explode("keys").alias("key"))
     shared = posted.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = written(posted.join(written(shared, "shared").hint("merge"), "key").select("key", "leader", "node"), "members")
+    # only texts that share a key are compared with any, so only they move from here on
+    texts = written(texts.join(members.select("node").distinct(), "node", "left_semi"), "texts")
     star = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     found = _verified(written(star, "star"), texts)
     open_ = _open(members, components(found))

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from quire.llm import components, golay, queries, simhash
+from quire.llm import golay, queries, simhash
 from quire.llm.frames import table
+from quire.operators import graphs
 
 
 def _brute_fingerprint(text):
@@ -92,7 +93,7 @@ def test_classes_of_many_near_fingerprints(spark, block):
     rows = [(fp, i) for i, fp in enumerate(sorted(fps))]
     signed = [(i, fp - (1 << 64) if fp >> 63 else fp) for fp, i in rows]
     distinct = spark.createDataFrame([(fp,) for _, fp in signed], "fp long")
-    found = {r.node: r.root for r in components.components(simhash.links(distinct, block=block)).collect()}
+    found = {r.node: r.root for r in graphs.components(simhash.links(distinct, block=block)).collect()}
     groups = {}
     for (i, fp), c in zip(signed, _brute_classes(rows), strict=True):
         groups.setdefault(c, set()).add(fp)
@@ -116,5 +117,5 @@ def test_odd_rows(odd, empty):
 
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001), (1001, 1000), (7, 7)]
-    found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    found = {r.node: r.root for r in graphs.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
