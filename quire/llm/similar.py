@@ -1,4 +1,5 @@
-"""Near-duplicate texts by the likeness of their word shingles: min-hash keys, verified exactly."""
+"""Near-duplicate texts by the likeness of their word shingles: candidates from the Golay keys of SimHash
+fingerprints and from min-hash keys, verified exactly."""
 
 from __future__ import annotations
 
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..operators.graphs import components
 from .frames import arrow_map, batch, columns, unused, written
+from . import simhash
 from .simhash import _LOWER
 
 WORDS = 5
@@ -52,7 +54,7 @@ def alike(a: set[bytes], b: set[bytes]) -> bool:
 
 
 class Sketch:
-    """Digest of a text's shingle set, and its min-hash keys."""
+    """Digest of a text's shingle set, its min-hash keys and its SimHash fingerprint (as a signed number)."""
 
     def __init__(self):
         rng = np.random.default_rng(SEED)
@@ -61,15 +63,17 @@ class Sketch:
         self.place = rng.integers(0, 1 << 63, (KEYS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
         self.band = rng.integers(0, 1 << 63, KEYS, np.uint64)
 
-    def __call__(self, text: str | None) -> tuple[bytes, np.ndarray]:
+    def __call__(self, text: str | None) -> tuple[bytes, np.ndarray, int]:
         grams = shingles(text)
         if not grams:
-            return bytes(16), np.zeros(0, np.int64)
+            return bytes(16), np.zeros(0, np.int64), 0
         digest = xxhash.xxh3_128_digest
         whole = np.frombuffer(b"".join(map(digest, grams)), np.uint64).reshape(-1, 2)
         hashes = whole[:, 0].copy()
         least = np.full(KEYS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+        set_ = np.zeros(64, np.int64)
         for at in range(0, len(hashes), _SHINGLES_AT_ONCE):
+            set_ += np.unpackbits(hashes[at : at + _SHINGLES_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
             mixed = hashes[None, at : at + _SHINGLES_AT_ONCE] ^ self.mask
             mixed *= self.factor
             np.minimum(least, mixed.min(1), out=least)
@@ -77,7 +81,8 @@ class Sketch:
         keys = (mixed ^ mixed >> np.uint64(29)).sum(1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ self.band
         # the set's digest: that of its hashes in order
         order = np.lexsort((whole[:, 1], whole[:, 0]))
-        return digest(whole[order].tobytes()), keys.view(np.int64)
+        fp = np.packbits(2 * set_ > len(hashes)).view(np.int64)
+        return digest(whole[order].tobytes()), keys.view(np.int64), int(fp[0])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -194,22 +199,36 @@ def _compared(open_: DataFrame, texts: DataFrame, block: int) -> DataFrame:
     return written(arrow_map(rows, run, "a long, b long"), "compared")
 
 
+def _near_fingerprints(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that join all nodes whose fingerprints differ in at most ``simhash.BITS`` bits: a fingerprint's
+    nodes with the least of them, and those with the least of a linked fingerprint's."""
+    least = written(nodes.groupBy("fp").agg(F.min("node").alias("a")), "least")
+    same = nodes.join(least, "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    edges = written(simhash.links(least.select("fp")), "near").select(F.col("a").alias("fp"), F.col("b").alias("fp_b"))
+    of_b = least.select(F.col("fp").alias("fp_b"), F.col("a").alias("b"))
+    return same.unionByName(edges.join(least, "fp").join(of_b, "fp_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def links(nodes: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) whose connected components are those of all alike pairs that share a key.
 
-    ``nodes`` has node and keys, ``texts`` node and text, each node once. Every text is first held against
-    the least node of each of its keys, then, in keys that still have several classes, those of other
-    classes against another node: that joins the bulk of a large class in a few pairs for each
-    member. In keys that have several classes even then, every text outside the largest class is compared
-    with all others where blocks of them meet, and what comes out of two blocks is a forest, never all pairs.
+    ``nodes`` has node, fp and keys, ``texts`` node and text, each node once. Candidates are, first, the links of
+    SimHash fingerprints that Golay keys find: pairs of nearly equal texts. A pair at ``LIKENESS`` differs in about 10
+    bits, too many for these keys, so every text is also held against the least node of each of its
+    min-hash keys. Then, in keys that still have several classes, texts of other classes are held against another node;
+    that joins the bulk of a large class in a few pairs for each member. In keys that have
+    several classes even then, every text outside the largest class is compared with all others where
+    blocks of them meet, and what comes out of two blocks is a forest, never all pairs. Every link is verified.
     """
     posted = nodes.select("node", F.explode("keys").alias("key"))
     shared = posted.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = written(posted.join(written(shared, "shared").hint("merge"), "key").select("key", "leader", "node"), "members")
-    # only texts that share a key are compared with any, so only they move from here on
-    texts = written(texts.join(members.select("node").distinct(), "node", "left_semi"), "texts")
-    star = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    found = _verified(written(star, "star"), texts)
+    star = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    star = written(star.unionByName(_near_fingerprints(nodes)).distinct(), "star")
+    # only texts that are in a pair are compared with any, so only they move from here on
+    paired = star.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = written(texts.join(paired, "node", "left_semi"), "texts")
+    found = _verified(star, texts)
     open_ = _open(members, components(found))
     leaders = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("by"), "node", "class")).alias("leader"))
     again = open_.join(written(leaders, "leaders"), "key").where("class <> leader.class").select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
@@ -225,21 +244,22 @@ def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rows equal in every column are told apart.
     """
     names = docs.columns
-    digest, keys, row = (unused(names, n) for n in ("digest", "keys", "row"))
-    schema = T.StructType([*docs.schema.fields, T.StructField(digest, T.BinaryType()), T.StructField(keys, T.ArrayType(T.LongType()))])
+    digest, keys, fp, row = (unused(names, n) for n in ("digest", "keys", "fp", "row"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(digest, T.BinaryType()), T.StructField(keys, T.ArrayType(T.LongType())), T.StructField(fp, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch()
         for b in batches:
             found = [sketch(t) for t in b.column("text").to_pylist()]
-            b = b.append_column(digest, pa.array([d for d, _ in found], pa.binary()))
-            yield b.append_column(keys, pa.array([k for _, k in found], pa.list_(pa.int64())))
+            b = b.append_column(digest, pa.array([d for d, _, _ in found], pa.binary()))
+            b = b.append_column(keys, pa.array([k for _, k, _ in found], pa.list_(pa.int64())))
+            yield b.append_column(fp, pa.array([f for _, _, f in found], pa.int64()))
 
     marked = written(arrow_map(docs, run, schema).withColumn(row, F.monotonically_increasing_id()), "marked")
-    rows = marked.select(F.col(digest).alias("digest"), F.col(row).alias("row"), F.col(keys).alias("keys"), "doc_id")
+    rows = marked.select(F.col(digest).alias("digest"), F.col(row).alias("row"), F.col(keys).alias("keys"), F.col(fp).alias("fp"), "doc_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    nodes = rows.groupBy("digest").agg(F.min("row").alias("node"), F.first("keys").alias("keys"), F.min(order).alias("first"))
-    nodes = written(nodes.select("node", "keys", "first"), "nodes")
+    nodes = rows.groupBy("digest").agg(F.min("row").alias("node"), F.first("keys").alias("keys"), F.first("fp").alias("fp"), F.min(order).alias("first"))
+    nodes = written(nodes.select("node", "keys", "fp", "first"), "nodes")
     texts = marked.select(F.col(row).alias("node"), F.col("text"))
     roots = components(links(nodes, texts, block))
     stay = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("class")).agg(F.min("first")["row"].alias(row)).select(row)

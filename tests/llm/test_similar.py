@@ -103,3 +103,26 @@ def test_forest_against_all_pairs():
             found = similar._forest(list(range(2 * n)), kinds, left, sets)
             assert all((min(x), max(x)) in wanted for x in found)
             assert _kept(2 * n, same + found) == _kept(2 * n, same + sorted(wanted))
+
+
+def test_fingerprints_near_each_other_are_paired(spark):
+    """What Golay keys give, by plain components of all pairs at most three bits apart, equal fingerprints included."""
+    rng = random.Random(8)
+    fps = [rng.getrandbits(64) for _ in range(40)]
+    fps += [f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for f in rng.choices(fps, k=80)]
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    nodes = spark.createDataFrame([(i, f, []) for i, f in enumerate(signed)], "node long, fp long, keys array<long>")
+    found = [(r.a, r.b) for r in similar._near_fingerprints(nodes).collect()]
+    wanted = [(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    assert len(wanted) > 30 and _kept(len(fps), found) == _kept(len(fps), wanted)
+
+
+def test_fingerprints_follow_likeness():
+    rng = random.Random(9)
+    sketch = similar.Sketch()
+    words = [f"w{rng.randrange(500)}" for _ in range(3000)]
+    bits = lambda f: f & (1 << 64) - 1
+    own = bits(sketch(" ".join(words))[2])
+    near = bits(sketch(" ".join(["changed", *words[1:]]))[2])
+    far = bits(sketch(" ".join(rng.sample(words, len(words))))[2])
+    assert (own ^ near).bit_count() <= 3 < (own ^ far).bit_count() and sketch("")[2] == sketch(None)[2] == 0
