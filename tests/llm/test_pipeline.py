@@ -28,3 +28,33 @@ def test_odd_rows(spark, odd, empty, small):
             assert docs.columns == source.columns
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, small)
         assert packed.count() == 0 or source is odd
+
+
+ENGLISH = "the people of the town went down to the river and looked at the boats that were there "
+GERMAN = "die leute aus der stadt gingen an den fluss und sahen sich dort die schiffe an die da waren "
+SPANISH = "la gente del pueblo bajo hasta el rio y miro los barcos que estaban alli desde hace tiempo "
+
+
+def test_language_stage(spark, empty):
+    """A text in three languages stays, one in none goes; the test texts have no label, so nothing is learned from them."""
+    known = [(100 + i, t * 3, x, None, 0) for i, (t, x) in enumerate([(ENGLISH, "en"), (GERMAN, "de"), (SPANISH, "es")] * 6)]
+    mixed = (ENGLISH + GERMAN + SPANISH) * 2  # no language has half
+    rows = [(1, mixed, None, None, 0), (1, mixed, None, None, 0), (2, "qzxv jkwq xxqz vvkq zzxj " * 9, None, None, 0), (3, "12 34 !!", None, None, 0), (4, None, None, None, 0), (None, ENGLISH, None, None, 0), (5, "", None, None, 0)]
+    docs = spark.createDataFrame([*known, *rows], empty.schema).selectExpr("*", "'mine' as surprise", "doc_id as row")
+    kept = corpus_pipeline.language(spark, docs, "")
+    assert kept.columns == docs.columns
+    found = kept.where("doc_id < 100 or doc_id is null").collect()
+    assert sorted((r.doc_id or 0, r.surprise) for r in found) == [(0, "mine"), (1, "mine"), (1, "mine")]
+    assert kept.where("doc_id >= 100").count() == len(known)
+    unlabelled = docs.withColumn("lang", docs["source"])  # null everywhere
+    assert corpus_pipeline.language(spark, unlabelled, "").where("doc_id < 100").count() == 3  # only texts without a letter go
+
+
+def test_later_stages_on_repeated_and_null_rows(spark, odd, small):
+    """Every stage but packing returns the columns it was given, whatever their names."""
+    twice = odd.unionByName(odd)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, twice, small)
+        assert out.dtypes == twice.dtypes and out.count() <= twice.count(), name
+    assert corpus_pipeline.near_duplicates(spark, twice, small).count() == corpus_pipeline.near_duplicates(spark, odd, small).count()
+    assert corpus_pipeline.secret_scan(spark, twice, small).count() == twice.count()
