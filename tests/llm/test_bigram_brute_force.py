@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -78,3 +80,26 @@ def test_texts_do_not_move_for_few_ids(spark, small):
     plan = lm_score.in_target(docs, ids)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert "SortMergeJoin" in lm_score.in_target(docs, ids, 3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slots_find_what_they_hold():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 5000):
+        pairs = np.unique(rng.integers(0, 1 << 32, n))
+        pairs = np.unique(np.concatenate([pairs, pairs[: n // 3] + 1]))
+        slots = lm_score.Slots(pairs)
+        asked = np.concatenate([pairs, rng.integers(0, 1 << 32, 3000), pairs + 2])
+        where = {p: i for i, p in enumerate(pairs.tolist())}
+        assert slots.find(asked).tolist() == [where.get(p, -1) for p in asked.tolist()]
+
+
+def test_slices_keep_documents_apart(monkeypatch):
+    monkeypatch.setattr(lm_score, "AT_ONCE", 10)
+    rng = np.random.default_rng(4)
+    ids = [rng.integers(0, 1 << 16, n).astype(np.uint16) for n in (0, 3, 25, 0, 4, 4, 4, 1, 0)]
+    batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in ids], pa.binary())], names=["ids"])
+    found = []
+    for some, pairs, ends in lm_score._slices(batch):
+        assert len(ends) == some.num_rows and (len(pairs) <= 10 or some.num_rows == 1)
+        found += [x.tolist() for x in np.split(pairs, ends[:-1])]
+    assert found == [lm_score._cells(x.astype(np.int64)).tolist() if len(x) else [] for x in ids]
