@@ -190,7 +190,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     documents of one class; an empty table gives no rows; other columns are ignored.
     """
     fps = written(fingerprints(docs), "fingerprints")
-    found = fps.join(classes(fps), "fp")
+    # written, so that the rows of a fingerprint that a large part of all documents have can be split
+    found = fps.join(written(classes(fps), "classes"), "fp")
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
@@ -211,5 +212,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     marked = written(arrow_map(docs, run, schema).withColumn(row, F.monotonically_increasing_id()), "marked")
     fps = marked.select("doc_id", F.col(fp).alias("fp"), F.col(row).alias("row"))
-    first = fps.join(classes(fps.select("doc_id", "fp")), "fp").groupBy("class").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias(row)).select(row)
+    first = fps.join(written(classes(fps.select("doc_id", "fp")), "classes"), "fp").groupBy("class").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias(row)).select(row)
     return marked.join(first, row, "left_semi").select(*[F.col(f"`{n}`") for n in names])
