@@ -199,10 +199,11 @@ def in_target(docs: DataFrame, target_ids: DataFrame, most: int = BROADCAST_IDS)
     """doc_id, text and in_target of every document: whether its doc_id is among ``target_ids``; null ids never are.
 
     The ids are counted first. Up to ``most`` (16 bytes each, or so) they are broadcast and no text moves; with more,
-    both sides are merged by id.
+    they are written and both sides are merged by id, so that Spark can split the rows that have no id.
     """
     ids = target_ids.select(F.col("doc_id").alias("target_id")).where("target_id is not null").distinct()
     hint = "broadcast" if ids.limit(most + 1).count() <= most else "merge"
+    ids = written(ids, "target") if hint == "merge" else ids
     marked = docs.select("doc_id", "text").join(ids.withColumn("in_target", F.lit(True)).hint(hint), F.col("doc_id") == F.col("target_id"), "left")
     return marked.select("doc_id", "text", F.coalesce("in_target", F.lit(False)).alias("in_target"))
 
