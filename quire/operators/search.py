@@ -1,4 +1,4 @@
-"""Nearest vectors: exactly, by blocks of a stated query set, and approximately, by random projections."""
+"""Nearest vectors of a stated query set: exactly, and approximately, among the cells around a query."""
 
 from __future__ import annotations
 
@@ -7,9 +7,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.intermediate import written
@@ -17,6 +15,8 @@ from .ranking import top_per_group
 
 #: Query vectors that are held against the table in one pass.
 PASS = 50_000
+#: Vectors that centres are fitted on, about, rounds of fitting, and the share of the nearest that is aimed at.
+SAMPLE, ROUNDS, RECALL = 20_000, 8, 0.95
 
 _PAIRS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("similarity", pa.float64())])
 
@@ -33,12 +33,29 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, most: int = PASS) ->
     collected but the queries of one pass. Of equal similarities (to 9 digits) the least id is nearest. Null vectors, and
     vectors without a length, are near to nothing.
     """
+    return _searched(queries, vectors, k, most, None, 0)
+
+
+def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int, recall: float = RECALL, cells: int | None = None, most: int = PASS, sample: int = SAMPLE) -> DataFrame:
+    """As ``nearest``, among the vectors whose nearest centre is one of the centres nearest to the query.
+
+    The centres (``cells`` of them, or the square root of the sample's size) are fitted on about ``sample`` vectors chosen by
+    a hash of their id; every vector is searched. How many centres a query probes is the least number that finds
+    ``recall`` of the nearest vectors within the sample, so vectors in clusters are searched in few
+    cells and vectors in all directions in many.
+    """
+    rows = _drawn(vectors, sample)
+    centres = _centres(rows, cells)
+    return _searched(queries, vectors, k, most, centres, _probes(rows, centres, k, recall))
+
+
+def _searched(queries: DataFrame, vectors: DataFrame, k: int, most: int, centres: np.ndarray | None, probes: int) -> DataFrame:
     results = []
     passes = _passes(queries, most)
     now, more = next(passes, None), next(passes, None)
     while now is not None:
-        shared = queries.sparkSession.sparkContext.broadcast(now)
-        found = vectors.select("vec_id", "embedding").mapInArrow(partial(_held_against, shared, k), "query_id long, vec_id long, similarity double")
+        shared = queries.sparkSession.sparkContext.broadcast((*now, centres))
+        found = vectors.select("vec_id", "embedding").mapInArrow(partial(_held_against, shared, k, probes), "query_id long, vec_id long, similarity double")
         if more is not None:  # a pass's queries are let go before the next one's are read
             found = written(found, "nearest")
             shared.destroy()
@@ -49,23 +66,72 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, most: int = PASS) ->
     return _ranked(reduce(DataFrame.unionByName, results), k)
 
 
-def _held_against(shared, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The k best vectors of each batch for every query."""
-    ids, matrix = shared.value
+def _held_against(shared, k: int, probes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The k best vectors of each batch for every query, among those of the cells that it probes."""
+    ids, matrix, centres = shared.value
+    probed = None if centres is None else np.argsort(-(matrix @ centres.T), axis=1, kind="stable")[:, :probes]
     for b in batches:
         own, rows = _unit(b.column("vec_id").to_pylist(), b.column("embedding").to_pylist())
         if not len(own):
             continue
         order = np.argsort(own, kind="stable")  # among equals the least id comes first
         own, rows = own[order], rows[order]
-        for at in range(0, len(ids), 1024):
-            some = np.round(matrix[at : at + 1024] @ rows.T, 9)
-            some[ids[at : at + 1024][:, None] == own[None]] = -np.inf
-            best = np.argsort(-some, axis=1, kind="stable")[:, :k]
-            value = np.take_along_axis(some, best, axis=1)
-            kept = np.isfinite(value)
-            query = np.repeat(ids[at : at + 1024], best.shape[1]).reshape(best.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(query[kept]), pa.array(own[best][kept]), pa.array(value[kept])], schema=_PAIRS)
+        if probed is None:
+            yield from _best(ids, matrix, own, rows, k)
+            continue
+        cell = np.argmax(rows @ centres.T, axis=1)
+        for c in np.unique(cell):
+            asking = (probed == c).any(1)
+            yield from _best(ids[asking], matrix[asking], own[cell == c], rows[cell == c], k)
+
+
+def _best(ids: np.ndarray, matrix: np.ndarray, own: np.ndarray, rows: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(ids), 1024):
+        some = np.round(matrix[at : at + 1024] @ rows.T, 9)
+        some[ids[at : at + 1024][:, None] == own[None]] = -np.inf
+        best = np.argsort(-some, axis=1, kind="stable")[:, :k]
+        value = np.take_along_axis(some, best, axis=1)
+        kept = np.isfinite(value)
+        query = np.repeat(ids[at : at + 1024], best.shape[1]).reshape(best.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(query[kept]), pa.array(own[best][kept]), pa.array(value[kept])], schema=_PAIRS)
+
+
+def _drawn(vectors: DataFrame, sample: int) -> np.ndarray:
+    """About ``sample`` vectors of length 1, in an order of their own."""
+    share = min(1.0, sample / max(1, vectors.count()))
+    drawn = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share * (1 << 20)
+    some = vectors.where(drawn & F.col("embedding").isNotNull()).select("vec_id", "embedding").toArrow()
+    _, rows = _unit(some.column("vec_id").to_pylist(), some.column("embedding").to_pylist())
+    return rows[np.lexsort(rows.T)] if len(rows) else rows
+
+
+def _centres(rows: np.ndarray, cells: int | None) -> np.ndarray | None:
+    """Centres of directions by k-means; None where there is no vector."""
+    if not len(rows):
+        return None
+    rng = np.random.default_rng(7)
+    centres = rows[rng.choice(len(rows), min(len(rows), cells or int(len(rows) ** 0.5)), replace=False)]
+    for _ in range(ROUNDS):
+        cell = np.argmax(rows @ centres.T, axis=1)
+        total = np.zeros_like(centres)
+        np.add.at(total, cell, rows)
+        length = np.sqrt((total**2).sum(1, keepdims=True))
+        centres = np.where(length > 0, total / np.maximum(length, 1e-12), centres)
+    return centres
+
+
+def _probes(rows: np.ndarray, centres: np.ndarray | None, k: int, recall: float) -> int:
+    """The least number of cells around a vector that hold ``recall`` of its k nearest in the sample."""
+    if centres is None or len(rows) < 2:
+        return 1
+    asked = np.random.default_rng(8).choice(len(rows), min(len(rows), 500), replace=False)
+    near = rows[asked] @ rows.T
+    near[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-near, axis=1, kind="stable")[:, : min(k, len(rows) - 1)]
+    cell = np.argmax(rows @ centres.T, axis=1)
+    place = np.argsort(np.argsort(-(rows[asked] @ centres.T), axis=1, kind="stable"), axis=1)
+    needed = np.take_along_axis(place, cell[best], axis=1).ravel()
+    return int(np.searchsorted(np.cumsum(np.bincount(needed)), recall * len(needed))) + 1
 
 
 def _unit(ids: list, vectors: list) -> tuple[np.ndarray, np.ndarray]:
@@ -86,26 +152,3 @@ def _passes(queries: DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndar
             some = []
     if some and len((found := _unit(*zip(*some, strict=True)))[0]):
         yield found
-
-
-def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int, bucket: float = 0.7, tables: int = 12) -> DataFrame:
-    """As ``nearest``, among the vectors that share a bucket of one of ``tables`` random projections with the query.
-
-    Vectors are brought to length 1, where distance and cosine order alike. The join is on table and bucket, so
-    its cost follows the buckets' sizes; narrower buckets are faster and find less.
-    """
-    def unit(df: DataFrame) -> DataFrame:
-        own = F.coalesce("embedding", F.array().cast("array<float>"))
-        length = F.sqrt(F.aggregate(own, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-        return df.where(length > 0).select("vec_id", array_to_vector(F.transform(own, lambda x: x.cast("double") / length)).alias("unit"))
-
-    # written, since Spark would else move the hash function before the test for a length
-    rows, asked = written(unit(vectors), "rows"), written(unit(queries), "asked")
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(rows)
-    pairs = model.approxSimilarityJoin(asked, rows, 2.0, "distance").select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), _cosine(F.col("distance")).alias("similarity"))
-    return _ranked(pairs.where("query_id <> vec_id"), k)
-
-
-def _cosine(distance: Column) -> Column:
-    """Of vectors of length 1 at this distance."""
-    return F.round(1 - distance * distance / 2, 9)

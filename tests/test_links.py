@@ -74,7 +74,16 @@ def test_recall_of_the_approximate_search(spark, sf):
 
 
 def test_approximate_odd_rows(spark):
-    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [0.0, 1.0])]
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [0.0, 1.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     found = approximate_nearest(df, df, 1).collect()
-    assert (0, 1, 1.0) in {(r.query_id, r.vec_id, r.similarity) for r in found} and not {2, 3} & {r.query_id for r in found}
+    assert (0, 1, 1.0) in {(r.query_id, r.vec_id, r.similarity) for r in found} and not {2, 3, None} & {r.query_id for r in found}
+    assert approximate_nearest(df.where("false"), df.where("false"), 1).count() == 0
+
+
+def test_only_probed_cells_are_searched(spark):
+    """Two directions far apart: the nearest are on a query's own side, so one cell is enough, and it sees no other."""
+    rows = [(i, [1.0, 0.01 * i]) for i in range(20)] + [(100 + i, [-1.0, 0.01 * i]) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    found = approximate_nearest(df.where("vec_id in (0, 100)"), df, 15, cells=2).collect()
+    assert len(found) == 30 and all((r.query_id < 100) == (r.vec_id < 100) for r in found)
