@@ -12,8 +12,8 @@ from .frames import shared_folder, table
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    """Whether the language models may not learn from a document."""
-    return F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 3 == 1
+    """Whether the language models may not learn from a document; false for a null id, which has no remainder."""
+    return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
 def op1_em_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

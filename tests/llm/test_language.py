@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import zlib
+
 from quire.llm import language_id, lm_score, queries
 from quire.llm.frames import table
 
@@ -70,3 +72,8 @@ def test_losses_by_hand(spark):
     models = lm_score.Models(*(t[c].to_numpy() for c in ("cell", "target", "background")))
     target, background = models.losses(lm_score._ids("the the cat", lm_score.ByteIds()))
     assert target.mean() < background.mean() and (target > 0).all()
+
+
+def test_held_out_by_hand(odd):
+    for r in odd.select("doc_id", queries.held_out().alias("held")).collect():
+        assert r.held == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
