@@ -40,8 +40,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of texts whose five-word shingles are alike to 0.8 the document of the least id stays.
 
-    Such pairs differ in about 10 of 64 SimHash bits and often in more, which no exact key of op6's kind covers;
-    candidates come from min-hash keys of the shingles, and every link is verified.
+    Candidates are SimHash fingerprints at most 3 bits apart by Golay keys, as in op6. Texts alike to 0.8 differ in
+    about 10 bits, beyond those keys, so texts that share a min-hash key are candidates too; every link is verified. Null texts are
+    alike, null ids come after all others, and repeated rows are copies.
     """
     return similar.keep_one(docs)
 
