@@ -41,7 +41,8 @@ def masked(text: Column, kinds: tuple[str, ...] = MASKED) -> Column:
 
 def find(text: Column, kind: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    return F.when(may_hold(text, kind), found).otherwise(F.array().cast("array<string>"))
+    may = may_hold(text, kind)
+    return F.when(may, found).when(~may, F.array().cast("array<string>"))  # null for a null text
 
 
 def holds(text: Column, kind: str) -> Column:
