@@ -85,8 +85,31 @@ class Sketch:
         return digest(whole[order].tobytes()), keys.view(np.int64), int(fp[0])
 
 
+class Classes:
+    """Disjoint sets of nodes, joined as links are found."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def top(self, node: int) -> int:
+        parent = self.parent
+        parent.setdefault(node, node)
+        while parent[node] != node:
+            parent[node] = node = parent[parent[node]]
+        return node
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart until now."""
+        a, b = self.top(a), self.top(b)
+        self.parent[a] = b
+        return a != b
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are alike. ``texts`` has node and text."""
+    """Links that join what the alike pairs among ``pairs`` (a, b) join. ``texts`` has node and text.
+
+    A pair whose ends a task has joined already is not looked at, so a task gives a forest of its nodes.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     of_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     of_b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -94,6 +117,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[int, set[bytes]] = OrderedDict()
+        classes = Classes()
 
         def shingles_of(node: int, text: str | None) -> set[bytes]:
             if node in known:
@@ -105,8 +129,11 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             return known[node]
 
         for b in batches:
-            rows = zip(*columns(b, "a", "b", "text_a", "text_b"), strict=True)
-            kept = [(x, y) for x, y, t, u in rows if alike(shingles_of(x, t), shingles_of(y, u))]
+            kept = []
+            for x, y, t, u in zip(*columns(b, "a", "b", "text_a", "text_b"), strict=True):
+                if classes.top(x) != classes.top(y) and alike(shingles_of(x, t), shingles_of(y, u)):
+                    classes.join(x, y)
+                    kept.append((x, y))
             yield batch(schema, *(zip(*kept, strict=True) if kept else [[], []]))
 
     return written(arrow_map(both, run, "a long, b long"), "verified")
@@ -149,13 +176,7 @@ def _forest(nodes: list[int], kinds: list[int], left: list[bool], sets: list[np.
     first = np.searchsorted(place[by_shingle], np.arange(len(vocabulary) + 1))
     sizes = np.array([len(s) for s in sets])
     holder = np.repeat(np.arange(len(against)), sizes[against])[by_shingle]
-    parent = {k: k for k in kinds}
-
-    def top(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = k = parent[parent[k]]
-        return k
-
+    classes = Classes()
     out = []
     for i in order[right:] if right else order:
         at = np.minimum(np.searchsorted(vocabulary, sets[i]), len(vocabulary) - 1)
@@ -163,9 +184,7 @@ def _forest(nodes: list[int], kinds: list[int], left: list[bool], sets: list[np.
         n = first[at + 1] - first[at]
         both = np.bincount(holder[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(against))
         for j in against[5 * both >= 4 * (sizes[i] + sizes[against] - both)].tolist():
-            a, b = top(kinds[i]), top(kinds[j])
-            if a != b:
-                parent[a] = b
+            if classes.join(kinds[i], kinds[j]):
                 out.append((nodes[i], nodes[j]))
     return out
 
