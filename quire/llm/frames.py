@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -32,6 +33,13 @@ def arrow_map(df: DataFrame, f, schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows, so that the objects made of one piece are gone before the next."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def unused(names: list[str], name: str) -> str:
     """``name``, or with underscores after it, so that no column (in any case) has it."""
     while name.lower() in {n.lower() for n in names}:

@@ -23,7 +23,7 @@ ROUNDS = 12
 #: A further language must raise the log-likelihood by this times the logarithm of the words.
 PENALTY = 3.0
 #: Characters that are scored at once; a longer text is scored alone, in slices.
-CHARACTERS = 1_000_000
+CHARACTERS = 250_000
 #: Numbers (events by languages) that are held at once; with many languages fewer characters are scored at once.
 NUMBERS = 16_000_000
 

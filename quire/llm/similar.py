@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graphs import components
-from .frames import arrow_map, batch, columns, unused, written
+from .frames import arrow_map, batch, columns, in_slices, unused, written
 from . import simhash
 from .simhash import _LOWER
 
@@ -128,7 +128,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     known.popitem(last=False)
             return known[node]
 
-        for b in batches:
+        for b in in_slices(batches):
             kept = []
             for x, y, t, u in zip(*columns(b, "a", "b", "text_a", "text_b"), strict=True):
                 if classes.top(x) != classes.top(y) and alike(shingles_of(x, t), shingles_of(y, u)):
@@ -196,7 +196,7 @@ def _compared(open_: DataFrame, texts: DataFrame, block: int) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for b in batches:
+        for b in in_slices(batches):
             for node, text in zip(*columns(b, "node", "text"), strict=True):
                 own = np.unique(np.fromiter(map(digest, shingles(text)), np.uint64)).view(np.int64)
                 yield batch(sets_schema, [node], [len(own)], [np.sort(own)])
@@ -268,7 +268,7 @@ def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch()
-        for b in batches:
+        for b in in_slices(batches):
             found = [sketch(t) for t in b.column("text").to_pylist()]
             b = b.append_column(digest, pa.array([d for d, _, _ in found], pa.binary()))
             b = b.append_column(keys, pa.array([k for _, k, _ in found], pa.list_(pa.int64())))
