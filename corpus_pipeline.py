@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import decontaminate, language_id, packing, secrets, similar
-from quire.llm.frames import arrow_map, shared_folder, table
+from quire.llm.frames import arrow_map, in_slices, shared_folder, table
 
 #: Nats a letter that a text may surprise its languages by: what guessing among 64 letters does.
 MOST_SURPRISE = math.log(64)
@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in in_slices(batches):
             texts = b.column("text").to_pylist()
             if none:
                 keep = [any(map(str.isalpha, t or "")) for t in texts]
