@@ -17,6 +17,7 @@ from ..operators.graphs import components
 from .frames import arrow_map, batch, columns, in_slices, unused, written
 from . import simhash
 from .simhash import _LOWER
+from .tokens import per_worker
 
 WORDS = 5
 #: Jaccard likeness of two texts' shingle sets from which on they are near-duplicates.
@@ -267,7 +268,7 @@ def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField(digest, T.BinaryType()), T.StructField(keys, T.ArrayType(T.LongType())), T.StructField(fp, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = Sketch()
+        sketch = per_worker(Sketch)
         for b in in_slices(batches):
             found = [sketch(t) for t in b.column("text").to_pylist()]
             b = b.append_column(digest, pa.array([d for d, _, _ in found], pa.binary()))

@@ -139,8 +139,10 @@ _WORKERS_OWN: dict = {}
 
 
 def per_worker(kind, *args):
-    """One object a Python worker and arguments, kept between its tasks."""
+    """An object that a Python worker keeps between its tasks, until it is asked for another one: what one
+    operator remembers is let go when the next one begins."""
     key = (kind, args)
     if key not in _WORKERS_OWN:
+        _WORKERS_OWN.clear()
         _WORKERS_OWN[key] = kind(*args)
     return _WORKERS_OWN[key]
