@@ -1,0 +1,109 @@
+from __future__ import annotations
+
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from quire.llm import line_dedup
+
+from .conftest import SCHEMA
+
+SPACE = " \t\n\x0b\f\r"
+
+
+def lowered(s: str) -> str:
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in s)
+
+
+def plain(rows: list[tuple], length: int, documents: int) -> list[tuple]:
+    """The rule, by dictionaries: (doc_id, n_lines, positions dropped, kept text)."""
+    split = [(i, (t or "").split("\n")) for i, t, *_ in rows]
+    holders = defaultdict(set)
+    for row, (_, lines) in enumerate(split):
+        for line in lines:
+            if len(key := lowered(line.strip(SPACE))) >= length:
+                holders[key].add(row)
+    order = lambda i: (i is not None, i or 0)
+    keeper = {k: max((split[r][0] for r in v), key=order) for k, v in holders.items() if len(v) >= documents}
+    out = []
+    for i, lines in split:
+        gone = [n for n, line in enumerate(lines) if (k := lowered(line.strip(SPACE))) in keeper and keeper[k] != i]
+        out.append((i, len(lines), gone, "\n".join(line for n, line in enumerate(lines) if n not in gone)))
+    return out
+
+
+def flips(gone: list[int]) -> list[int]:
+    out = []
+    for n in gone:
+        if out and out[-1] == n:
+            out[-1] = n + 1
+        else:
+            out += [n, n + 1]
+    return out
+
+
+def key(row):
+    return repr(row)
+
+
+LONG = "A line of Boilerplate that many documents Share é"
+TEXTS = [
+    (1, f"{LONG}\nown words of one\n  {LONG.upper().replace('É', 'é')}\t", None, "a", 1),
+    (2, f"{LONG}", None, None, None),
+    (3, f"x\n\n{LONG}\r\n{LONG}\n", None, "a", 1),
+    (4, f"{LONG.replace('é', 'É')}\nof another key", None, "a", 1),
+    (7, f"first\n{LONG}\nlast\n{LONG}", None, "a", 1),
+    (7, f"{LONG}", None, "a", 1),
+    (None, f"{LONG}\nno id", None, "a", 1),
+    (None, None, None, "a", 1),
+    (9, "", None, "a", 1),
+]
+
+
+@pytest.mark.parametrize("slice_rows", [2, line_dedup.SLICE])
+@pytest.mark.parametrize("documents", [2, 5, 7])
+def test_against_dictionaries(spark, slice_rows, documents):
+    docs = spark.createDataFrame(TEXTS, SCHEMA).repartition(3)
+    found = line_dedup.keep_bitmaps(docs, 40, documents, slice_rows)
+    expected = plain(TEXTS, 40, documents)
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(((i, n, len(gone), flips(gone)) for i, n, gone, _ in expected), key=key)
+    texts = line_dedup.drop_repeats(docs, 40, documents, slice_rows).select("doc_id", "n_lines", "n_dropped", "text")
+    assert sorted(map(tuple, texts.collect()), key=key) == sorted(((i, n, len(gone), t) for i, n, gone, t in expected), key=key)
+
+
+def test_a_line_in_a_third_of_all_rows(spark):
+    rows = [(i, "\n".join([LONG if i % 3 == 0 else f"line {i}", f"and the line number {i // 4} of four documents each"]), None, None, None) for i in range(600)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = line_dedup.keep_bitmaps(docs, 40, 4, 20)
+    assert sorted(map(tuple, found.collect())) == sorted((i, n, len(gone), flips(gone)) for i, n, gone, _ in plain(rows, 40, 4))
+    assert found.where("n_dropped > 0").count() == 500
+
+
+def test_the_tables_rows(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    found = line_dedup.drop_repeats(docs, 20, 2).select("doc_id", "n_lines", "n_dropped", "text")
+    assert sorted(map(tuple, found.collect())) == sorted((i, n, len(gone), t) for i, n, gone, t in plain(rows, 20, 2))
+
+
+def test_odd_rows(spark, odd, empty):
+    assert line_dedup.keep_bitmaps(empty).count() == line_dedup.drop_repeats(empty).count() == 0
+    clash = odd.withColumn("keep", F.lit("clash")).withColumn("keys", F.lit("clash")).withColumn("N_LINES", F.lit("clash"))
+    out = line_dedup.drop_repeats(clash, 5, 2)
+    assert out.columns == [*[n for n in clash.columns if n != "N_LINES"], "n_lines", "n_dropped"]
+    assert out.count() == odd.count() and out.where("keep <> 'clash' or keys <> 'clash' or row <> 'clash'").count() == 0
+    assert {r[0] for r in out.where("doc_id = 3").select("text").collect()} == {""}
+
+
+def test_a_very_long_text(spark):
+    text = "\n".join(LONG if n % 2 else str(n) for n in range(200_000))
+    docs = spark.createDataFrame([(n, text if n == 0 else LONG, None, None, None) for n in range(5)], SCHEMA)
+    out = {r["doc_id"]: r for r in line_dedup.drop_repeats(docs).collect()}
+    assert out[0]["n_dropped"] == 100_000 and out[0]["text"] == "\n".join(map(str, range(0, 200_000, 2)))
+    assert out[4]["text"] == LONG and out[3]["text"] == ""
+
+
+def test_no_python_in_the_plan(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert "Python" not in (plan := line_dedup.drop_repeats(docs)._jdf.queryExecution().executedPlan().toString()) and "Arrow" not in plan
