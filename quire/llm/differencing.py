@@ -40,21 +40,3 @@ def difference(sizes: list[int], k: int) -> list[tuple[int, list[int]]]:
 
 def _total(subset: tuple[int, list[int]]) -> int:
     return subset[0]
-
-
-def windows(sizes: list[int], capacity: int) -> list[tuple[int, list[int]]]:
-    """The fewest near-equal windows that differencing finds with no sum over ``capacity``.
-
-    Starts at ceil(total / capacity) windows; the count rises by one whenever a window
-    exceeds the capacity. An item above the capacity is an error.
-    """
-    if not sizes:
-        return []
-    if max(sizes) > capacity:
-        raise ValueError("an item is larger than the capacity")
-    k = max(1, -(-sum(sizes) // capacity))
-    while True:
-        found = difference(sizes, k)
-        if found[-1][0] <= capacity:
-            return [w for w in found if w[1]]
-        k += 1

@@ -15,8 +15,8 @@ from .frames import unused, written
 
 #: Code points of a key, and documents that hold it, from which on its lines are dropped.
 LEAST_LENGTH, LEAST_DOCUMENTS = 40, 5
-#: Lines of one key that stream through one task, about; a key with more is dealt to several.
-SLICE = 100_000
+#: Lines of one key that stream together, about; a key with more is dealt to several slices, at the cost of a row each.
+SLICE = 1000
 _SPACE = " \t\n\x0b\f\r"
 
 

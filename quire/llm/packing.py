@@ -30,7 +30,8 @@ def pack(docs: DataFrame, vocabulary: str = BYTE_VOCABULARY, capacity: int = CAP
     A document's ids end with id 1. What fills whole sequences is cut off from its start; the
     rest goes as two pieces, a large and a small one, into a block, and each block is
     split by multiway differencing into ceil(total / capacity) nearly equal windows. What
-    a window has above the capacity is cut off and goes where there is room, so no block has a window more. Every partition packs what it reads, so nothing is
+    a window has above the capacity is cut off and goes where there is room: as documents may be cut, the count of windows
+    need not rise where it is exceeded. Every partition packs what it reads, so nothing is
     shuffled, no block is larger than ``block`` windows, and a task that is run again
     on the same rows gives the same rows. Sequence ids are unique over all partitions.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import let
 from .frames import unused, written
 
 _KEYWORD = "(?i:password|passwd|secret|token|api_?key)"
@@ -32,6 +34,8 @@ COPIED_OWNERS = 3
 LIVE_LENGTH, LIVE_DIFFERENT = 16, 8
 MASK = "[SECRET]"
 
+#: Values of a run that are merged one by one; code points of a block of a text that is masked.
+_RUN, _BLOCK = 1024, 4096
 _SPAN = "array<struct<start:long,rank:int,end:long,value:string>>"
 
 
@@ -48,27 +52,41 @@ def _worth(text: Column, kind: str) -> Column:
     return F.rlike(text, F.lit("[0-9][A-Za-z0-9+/_.=-]{8}|[A-Za-z0-9+/_.=-]{8}[0-9]"))
 
 
+def _running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Each of these longs merged with all before it; ``merge`` leaves nulls out.
+
+    An array that grows by one is copied, so values are gone through in runs of ``_RUN``, then the runs' last values, and
+    what comes before a run is merged into it at the end."""
+    none = F.expr("cast(array() as array<bigint>)")
+    last = lambda x: F.get(x, F.size(x) - 1)
+    through = lambda x, of: F.aggregate(x, none, lambda so_far, v: F.concat(so_far, F.array(merge(last(so_far), of(v)))))
+    runs = lambda x: F.transform(F.sequence(F.lit(0), ((F.size(x) - 1) / _RUN).cast("int")), lambda i: through(F.slice(x, i * _RUN + 1, _RUN), lambda v: v))
+    joined = lambda r: let(through(r, last), lambda before: F.flatten(F.transform(r, lambda run, i: F.transform(run, lambda v: merge(F.get(before, i - 1), v)))))
+    return let(values, lambda x: let(runs(x), joined))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return F.coalesce(a + b, a, b)
+
+
 def _found(text: Column, kind: str) -> Column:
     """All matches of a kind as (start, rank, end, value), in code points.
 
-    The matches and the pieces between them alternate, so a match starts after the pieces and
-    matches before it.
+    The matches and the pieces between them alternate, so a match ends after the pieces and matches up to it.
     """
     pattern = PATTERNS[kind]
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    lengths = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), F.length(m).cast("long").alias("n"), m.alias("m")))
     value = (lambda m: F.regexp_extract(m, _ASSIGN_VALUE, 1)) if kind == ASSIGN else (lambda m: m)
-    empty = F.expr(f"cast(array() as {_SPAN})")
+    length = lambda c: F.length(c).cast("long")
 
-    def placed(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + x["n"]
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), value(x["m"]).alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+    def spans(x: Column) -> Column:
+        ends = _running(F.zip_with(F.slice(x["pieces"], F.lit(1), F.size(x["matches"])), x["matches"], lambda p, m: length(p) + length(m)), _sum)
+        placed = lambda e: F.transform(
+            x["matches"], lambda m, i: F.struct((F.get(e, i) - length(m)).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.get(e, i).alias("end"), value(m).alias("value"))
+        )
+        return let(ends, placed)
 
-    spans = F.aggregate(lengths, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), placed)["spans"]
-    return F.when(_worth(text, kind), spans).otherwise(empty)
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("pieces"))
+    return F.when(_worth(text, kind), let(parts, spans)).otherwise(F.expr(f"cast(array() as {_SPAN})"))
 
 
 def _text(docs: DataFrame) -> Column:
@@ -146,9 +164,18 @@ def _classified(scanned: DataFrame) -> DataFrame:
 
 
 def _added(spans: Column) -> Column:
-    """Bare strings that overlap no span of another kind."""
-    based = F.filter(spans, lambda s: s["rank"] < KINDS.index(COPY))
-    return F.filter(spans, lambda s: (s["rank"] == KINDS.index(COPY)) & ~F.exists(based, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    """Bare strings that overlap no span of another kind. In order of start, a string overlaps one that begins no later
+    if the furthest end of those so far is beyond its start, and one that begins later if the next start is before its end."""
+    copy = KINDS.index(COPY)
+
+    def alone(s: Column) -> Column:
+        none = F.lit(None).cast("long")
+        furthest = _running(F.transform(s, lambda x: F.when(x["rank"] < copy, x["end"]).otherwise(none)), F.greatest)
+        following = F.reverse(_running(F.transform(F.reverse(s), lambda x: F.when(x["rank"] < copy, x["start"]).otherwise(none)), F.least))
+        apart = lambda x, i, e: (x["rank"] == copy) & F.coalesce(F.get(e["furthest"], i) <= x["start"], F.lit(True)) & F.coalesce(F.get(e["following"], i) >= x["end"], F.lit(True))
+        return let(F.struct(furthest.alias("furthest"), following.alias("following")), lambda e: F.filter(s, lambda x, i: apart(x, i, e)))
+
+    return let(F.array_sort(spans), alone)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -161,7 +188,8 @@ def scan(docs: DataFrame) -> DataFrame:
     string elsewhere whose value is live is added as kind ``copy``.
 
     A null text is empty; a null source is an owner of its own; null ids and repeated rows are
-    kept; an empty table gives no rows; columns other than doc_id, text and source are ignored.
+    kept; an empty table gives no rows; columns other than doc_id, text and source are ignored. A text with n spans is taken
+    in runs, so that neither it nor its array of spans is copied for each of them.
     """
     scanned = written(_scanned(docs, [F.col("doc_id")]), "scanned")
     spans = _classified(scanned)
@@ -210,14 +238,25 @@ def redact(docs: DataFrame, weak: bool = False) -> DataFrame:
     return docs.where(~some).unionByName(out)
 
 
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """The text from one code point to another, out of its blocks of ``_BLOCK``: it is never gone through from its beginning."""
+    first, last = (start / _BLOCK).cast("int"), (end / _BLOCK).cast("int")
+    at = lambda x: (x % _BLOCK + 1).cast("int")
+    nothing = F.lit("")
+    inside = F.substr(F.coalesce(F.get(blocks, first), nothing), at(start), (end - start).cast("int"))
+    across = F.concat(F.substr(F.coalesce(F.get(blocks, first), nothing), at(start)), F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), F.substr(F.coalesce(F.get(blocks, last), nothing), F.lit(1), (end % _BLOCK).cast("int")))
+    return F.when(first == last, inside).otherwise(across)
+
+
 def _masked(text: Column, spans: Column) -> Column:
-    """The text with the union of the spans replaced; spans are in order of their start."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """The text with the union of the spans replaced; spans are in order of their start, null where there are none."""
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substr(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
-        fresh = s["start"] >= state["at"]
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, F.concat(state["out"], gap, F.lit(MASK))).otherwise(state["out"]).alias("out"))
+    def pieces(x: Column) -> Column:
+        # a span that begins within those before it belongs to their mask
+        before = lambda i: F.coalesce(F.get(x["ends"], i - 1), F.lit(0).cast("long"))
+        each = F.transform(x["spans"], lambda s, i: F.when(s["start"] >= before(i), F.concat(_between(x["blocks"], before(i), s["start"]), F.lit(MASK))).otherwise(""))
+        return F.concat(F.array_join(each, ""), _between(x["blocks"], before(F.size(x["spans"])), x["n"]))
 
-    finish = lambda state: F.concat(state["out"], F.substr(text, (state["at"] + 1).cast("int")))
-    return F.aggregate(spans, start, step, finish)
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    ends = _running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    return F.when(spans.isNotNull(), let(F.struct(spans.alias("spans"), blocks.alias("blocks"), ends.alias("ends"), F.length(text).cast("long").alias("n")), pieces))

@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from quire.llm import queries, secrets
 from quire.llm.frames import table
 
@@ -117,3 +119,31 @@ def test_no_python_in_the_plan(spark, small):
     docs = table(spark, small, "documents")
     for out in (secrets.redact(docs), secrets.scan(docs), secrets.ownership(docs.selectExpr("doc_id as row", "text as value", "1 as rank", "source as repository"))):
         assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().toString())
+
+
+def test_a_text_of_many_spans(spark):
+    """A megabyte with 32000 assignments, some within each other's masks: as fast as a text of its length should be."""
+    import time
+
+    value = lambda i: f"a1b2c3d4e5f6{i:08d}zz"
+    text = "".join(f"é x{i}\npassword = {value(i)}\n" if i % 2 else f"token={value(i % 64)} " for i in range(32_000))
+    docs = spark.createDataFrame([(1, text, "a/x"), (2, f"bare {value(1)} here", "a/x"), (3, None, None)], "doc_id long, text string, source string")
+    start = time.time()
+    rows = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert time.time() - start < 60
+    found = [(m.start(), m.end()) for m in re.finditer(r"(password|token)\x20*=\x20*[A-Za-z0-9+/_.=-]+", text)]
+    assert rows[1]["n_assign"] == len(found) == 32_000
+    assert [(s["start"], s["end"]) for s in rows[1]["found"] if s["rank"] == 0] == found
+    assert masked[1] == re.sub(r"(password|token)\x20*=\x20*[A-Za-z0-9+/_.=-]+", "[SECRET]", text)
+    assert masked[2] == "bare [SECRET] here" and masked[3] is None
+
+
+def test_strings_beside_and_inside_other_spans(spark):
+    """What overlaps a base span adds nothing, wherever it begins; what touches one does."""
+    span = lambda start, rank, end: (start, rank, end)
+    spans = [span(0, 0, 10), span(10, 3, 20), span(19, 3, 30), span(25, 2, 40), span(40, 3, 50), span(60, 3, 90), span(70, 1, 75), span(80, 3, 85), span(90, 3, 95)]
+    df = spark.createDataFrame([(spans,)], "spans array<struct<start:long,rank:int,end:long>>")
+    added = df.select(secrets._added(F.col("spans")).alias("added")).collect()[0].added
+    based = [s for s in spans if s[1] < 3]
+    assert [tuple(s) for s in added] == [s for s in spans if s[1] == 3 and not any(b[0] < s[2] and s[0] < b[2] for b in based)]

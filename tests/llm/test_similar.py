@@ -97,7 +97,7 @@ def test_forest_against_all_pairs():
                 (i, j)
                 for j in range(2 * n)
                 for i in range(j)
-                if (left[i] != left[j] or all(left)) and similar.alike(set(map(str.encode, map(str, sets[i].tolist()))), set(map(str.encode, map(str, sets[j].tolist()))))
+                if (left[i] != left[j] or all(left)) and similar.alike(sets[i], sets[j])
             }
             same = [(kinds.index(k), i) for i, k in enumerate(kinds) if kinds.index(k) != i]
             found = similar._forest(list(range(2 * n)), kinds, left, sets)
@@ -122,7 +122,30 @@ def test_fingerprints_follow_likeness():
     sketch = similar.Sketch()
     words = [f"w{rng.randrange(500)}" for _ in range(3000)]
     bits = lambda f: f & (1 << 64) - 1
-    own = bits(sketch(" ".join(words))[2])
-    near = bits(sketch(" ".join(["changed", *words[1:]]))[2])
-    far = bits(sketch(" ".join(rng.sample(words, len(words))))[2])
-    assert (own ^ near).bit_count() <= 3 < (own ^ far).bit_count() and sketch("")[2] == sketch(None)[2] == 0
+    own = bits(sketch(" ".join(words))[3])
+    near = bits(sketch(" ".join(["changed", *words[1:]]))[3])
+    far = bits(sketch(" ".join(rng.sample(words, len(words))))[3])
+    assert (own ^ near).bit_count() <= 3 < (own ^ far).bit_count() and sketch("")[3] == sketch(None)[3] == 0
+
+
+def test_verified_pairs_of_a_hot_leader(spark):
+    """A leader's pairs are dealt to several tasks; what they find joins what all alike pairs join."""
+    rng = random.Random(10)
+    base = list(range(1000))
+    sets = [sorted({*base[rng.randint(0, 400) :], *range(5000, 5000 + rng.randint(0, 100))}) for _ in range(200)] + [[]]
+    nodes = spark.createDataFrame(list(enumerate(sets)), "node long, hashes array<long>")
+    pairs = [(0, i) for i in range(1, 201)] + [(i, i + 1) for i in range(1, 199, 2)]
+    likeness = lambda i, j: len({*sets[i]} & {*sets[j]}) / len({*sets[i]} | {*sets[j]})
+    wanted = [p for p in pairs if likeness(*p) >= 0.8]
+    assert 30 < len(wanted) < 280
+    for most in (7, 2000):
+        found = [(r.a, r.b) for r in similar._verified(spark.createDataFrame(pairs, "a long, b long"), nodes, most).collect()]
+        assert {*found} <= {*wanted} and _kept(201, found) == _kept(201, wanted)
+
+
+def test_a_very_long_text_and_its_copy(spark, empty):
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    texts = [" ".join(words), " ".join([*words[:290_000], *words[:5000]]), " ".join(words[: len(words) // 2]), "", None, "one", "One", "one two three four five six seven"]
+    docs = spark.createDataFrame([(i, t, "en", "a/x", 0) for i, t in enumerate(texts)], empty.schema)
+    assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == [0, 2, 3, 5, 7]

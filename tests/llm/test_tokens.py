@@ -115,8 +115,6 @@ def test_differencing():
         found = differencing.difference(sizes, k)
         assert len(found) == k and sorted(i for _, m in found for i in m) == list(range(len(sizes)))
         assert all(s == sum(sizes[i] for i in m) for s, m in found)
-        packed = differencing.windows(sizes, 50)
-        assert max(s for s, _ in packed) <= 50 and sorted(i for _, m in packed for i in m) == list(range(len(sizes)))
 
 
 def test_token_files_round_trip(spark, small, odd, empty, word_library, tmp_path):
