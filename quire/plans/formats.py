@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import files
+from ..sources import files, records
 from ..sources.intermediate import shared_folder
 from ..sources.tables import table
 
@@ -35,13 +35,10 @@ def partitioned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts written as records and read by the ``records`` source, by digest. The shared folder must be one that
-    executors can open as files."""
+    """Texts written as records and read by the ``records`` source, by digest."""
     folder = f"{shared_folder(spark)}/records"
-    files.write_records(table(spark, sf_dir, "documents").select("text"), folder)
-    spark.dataSource.register(files.RecordSource)
-    read = spark.read.format("records").option("path", folder).option("splits", 4).load()
-    return read.groupBy(F.md5("text").alias("text_md5")).agg(F.count("*").alias("n"))
+    records.write_records(table(spark, sf_dir, "documents").select("text"), folder)
+    return records.read_records(spark, folder).groupBy(F.md5("text").alias("text_md5")).agg(F.count("*").alias("n"))
 
 
 QUERIES = {

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 FORMATS = ("parquet", "orc", "json", "csv", "xml")
 
@@ -49,79 +45,3 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     """A row for each image file that can be decoded: path, width, height, channels and the pixels' bytes."""
     images = spark.read.format("image").option("dropInvalid", True).load(path)
     return images.select(F.col("image.origin").alias("path"), *[F.col(f"image.{n}").alias(a) for n, a in (("width", "width"), ("height", "height"), ("nChannels", "channels"), ("data", "pixels"))])
-
-
-def write_records(texts: DataFrame, path: str) -> None:
-    """Texts (one string column) as files of records, each ended by a line of dashes."""
-    texts.select(F.concat(F.col(texts.columns[0]), F.lit("\n---")).alias("value")).write.text(path)
-
-
-class RecordSource(DataSource):
-    """``spark.read.format("records")``: texts of records that a line of dashes ends.
-
-    Options: path (a file, or a folder of part files, that every executor can open), splits (byte ranges of a
-    file that are read apart). A record's position is that of its first byte in its file.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "records"
-
-    def schema(self) -> str:
-        return "position long, text string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _RecordReader(self.options["path"], int(self.options.get("splits", 4)))
-
-
-class _Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        super().__init__((path, start, end))
-
-
-class _RecordReader(DataSourceReader):
-    END = b"\n---\n"
-
-    def __init__(self, path: str, splits: int):
-        self.path, self.splits = path.removeprefix("file://").removeprefix("file:"), max(1, splits)
-
-    def partitions(self) -> list[InputPartition]:
-        top = Path(self.path)
-        out = []
-        for file in sorted(top.glob("part-*")) if top.is_dir() else [top]:
-            size = file.stat().st_size
-            step = max(1, -(-size // self.splits))
-            out += [_Range(str(file), s, min(size, s + step)) for s in range(0, size, step)]
-        return out or [_Range("", 0, 0)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        """The records that start in the range: those after an end mark before its last byte."""
-        path, start, end = partition.value
-        if not end:
-            return
-        with open(path, "rb") as f:
-            at = 0
-            if start:
-                f.seek(max(0, start - len(self.END)))
-                at = self._skip(f)
-            f.seek(at)
-            while at < end:
-                record, length = self._record(f)
-                if not length:
-                    return
-                yield at, record.decode()
-                at += length
-
-    def _skip(self, f) -> int:
-        begin = f.tell()
-        _, length = self._record(f)
-        return begin + length
-
-    def _record(self, f) -> tuple[bytes, int]:
-        data = b""
-        while self.END not in data:
-            more = f.readline()
-            if not more:
-                return data, len(data)
-            data += more
-        return data[: -len(self.END)], len(data)

@@ -4,8 +4,9 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from quire.sources import files
+from quire.sources import files, records
 
 SCHEMA = "doc_id long, text string, n double"
 ROWS = [(1, 'a "quoted", line\nand another', 1.5), (2, "é 🎉", None), (3, None, -2.0)]
@@ -37,16 +38,18 @@ def test_whole_files(spark, tmp_path):
     assert [(r.length, bytes(r.content)) for r in files.read_binary(spark, str(tmp_path), "*.bin").collect()] == [(3, b"xyz")]
 
 
+TEXTS = ["first", "a\n---\nb", "c", None, "", "\\N", "\\", "\\n", "\r\n", "ünicode 🎉\u2028\x00", " last ", "x" * 300_000, "\n" * 1000]
+
+
 @pytest.mark.parametrize("splits", [1, 2, 5, 40])
 def test_records(spark, tmp_path, splits):
-    spark.dataSource.register(files.RecordSource)
-    records = ["first", "second\nline -- \n--", "", "ünicode", "last"]
-    path = tmp_path / "records.txt"
-    path.write_bytes(b"".join(r.encode() + b"\n---\n" for r in records))
-    found = spark.read.format("records").option("path", str(path)).option("splits", splits).load().orderBy("position").collect()
-    assert [r.text for r in found] == records
-    path.write_bytes(b"")
-    assert spark.read.format("records").option("path", str(path)).load().count() == 0
+    path = str(tmp_path / "records")
+    records.write_records(spark.createDataFrame([(t,) for t in TEXTS], "t string").coalesce(1), path)
+    for where in (path, f"file:{path}", f"file://{path}"):
+        found = records.read_records(spark, where, splits).orderBy("position").collect()
+        assert [r.text for r in found] == TEXTS
+    spark.createDataFrame([], "t string").write.format("records").mode("overwrite").option("path", path).save()
+    assert records.read_records(spark, path, splits).count() == 0
 
 
 def test_images(spark, tmp_path):
@@ -62,9 +65,20 @@ def test_images(spark, tmp_path):
 
 
 def test_a_folder_of_records(spark, tmp_path):
-    spark.dataSource.register(files.RecordSource)
-    texts = [f"text {i}\nof two lines" for i in range(50)] + ["", "é"]
-    files.write_records(spark.createDataFrame([(t,) for t in texts], "t string").repartition(3), str(tmp_path / "r"))
+    texts = [f"text {i}\nof two lines" for i in range(50)] + ["", "é", None]
+    path = str(tmp_path / "r")
+    for _ in range(2):  # appended
+        records.write_records(spark.createDataFrame([(t,) for t in texts], "t string").repartition(3), path)
     for splits in (1, 7):
-        found = spark.read.format("records").option("path", str(tmp_path / "r")).option("splits", splits).load().collect()
-        assert sorted(r.text for r in found) == sorted(texts)
+        found = records.read_records(spark, path, splits).collect()
+        assert sorted((r.text for r in found), key=str) == sorted(texts + texts, key=str)
+
+
+def test_a_failed_task_leaves_no_file(spark, tmp_path):
+    path = tmp_path / "failed"
+    bad = spark.range(100, numPartitions=4).select(F.when(F.col("id") == 77, F.raise_error(F.lit("stop"))).otherwise(F.col("id").cast("string")).alias("text"))
+    with pytest.raises(Exception, match="stop|abort"):
+        records.write_records(bad, str(path))
+    assert not [p for p in path.rglob("*") if p.is_file()]
+    records.write_records(spark.createDataFrame([("kept",)], "text string"), str(path))
+    assert [r.text for r in records.read_records(spark, str(path)).collect()] == ["kept"]
