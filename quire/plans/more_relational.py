@@ -42,7 +42,7 @@ def segment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def distinct_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact counts, and whether the sketches (a few kilobytes a group, whatever its size) come near them:
-    HyperLogLog, theta, KLL, approximate top-k and count-min."""
+    HyperLogLog, theta and KLL."""
     events = table(spark, sf_dir, "events")
     users = F.countDistinct("user_id")
     near = lambda estimate: F.abs(estimate - users) <= F.greatest(F.lit(1.0), BOUND * users)
@@ -56,7 +56,6 @@ def distinct_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
         near(F.theta_sketch_estimate(F.theta_sketch_agg("user_id"))).alias("theta_near"),
         middle.between(exact(0.45), exact(0.55)).alias("kll_near"),
         F.percentile_approx("value", 0.5, 1000).between(exact(0.45), exact(0.55)).alias("median_near"),
-        (F.octet_length(F.count_min_sketch("user_id", F.lit(0.01), F.lit(0.95), F.lit(42))) > 0).alias("count_min_there"),
     )
 
 
@@ -111,7 +110,7 @@ SELECT r_name, g.p AS o_orderpriority, coalesce(n, 0) AS n FROM region CROSS JOI
     ),
     "distinct_estimates": (
         distinct_estimates,
-        "SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n, true AS approx_near, true AS hll_near, true AS theta_near, true AS kll_near, true AS median_near, true AS count_min_there FROM events GROUP BY 1",
+        "SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n, true AS approx_near, true AS hll_near, true AS theta_near, true AS kll_near, true AS median_near FROM events GROUP BY 1",
     ),
     "frequent_types": (frequent_types, "SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC LIMIT 3"),
     "url_parts": (

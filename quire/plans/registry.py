@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, fields, formats, links, measures, more_relational, pages, relational, similarity, streams, text
+from . import events, fields, formats, links, measures, more_relational, pages, relational, similarity, sketched, streams, text
 
-_MODULES = [formats, pages, text, fields, measures, links, relational, more_relational, similarity, events, streams]
+_MODULES = [formats, pages, text, fields, measures, links, relational, more_relational, similarity, sketched, events, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

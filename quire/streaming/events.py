@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 #: Watermarks need ``timestamp``; the tables hold ``timestamp_ntz``.
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -80,3 +80,44 @@ class Balance(StatefulProcessor):
 def balances(events: DataFrame) -> DataFrame:
     """As ``running_totals``, in Spark 4's form of arbitrary state, which wants the RocksDB state store."""
     return events.groupBy("user_id").transformWithStateInPandas(Balance(), "user_id long, n long, total double", "Append", "None")
+
+
+class Silence(StatefulProcessor):
+    """Per key: the times of events whose silence is still open, each with a timer. When the watermark has passed a time and the
+    ``seconds`` after it, no event in between can come any more; if none is among the times that are held, the key was silent."""
+
+    def __init__(self, seconds: int):
+        self.length = seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getMapState("times", "ms long", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        for frame in rows:
+            for ms, n in (frame["ts"].astype("datetime64[ms]").astype("int64")).value_counts().items():
+                if self.times.containsKey((int(ms),)):
+                    n += self.times.getValue((int(ms),))[0]
+                else:
+                    self.handle.registerTimer(int(ms) + self.length)
+                self.times.updateValue((int(ms),), (int(n),))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        start = end - self.length
+        n = self.times.getValue((start,))[0]
+        broken = any(start < ms <= end for (ms,) in self.times.keys())
+        self.times.removeKey((start,))
+        if not broken:
+            yield pd.DataFrame({"user_id": [key[0]], "silent_since": [pd.Timestamp(start, unit="ms")], "events_then": [n]})
+
+    def close(self) -> None:
+        pass
+
+
+def silences(events: DataFrame, seconds: int) -> DataFrame:
+    """user_id, silent_since and events_then: a row for each time (in milliseconds) at which a user had an event and then none for ``seconds``, once the
+    watermark has passed the end of that. State holds the times within ``seconds`` and the watermark's delay, as a keyed collection; it wants
+    the RocksDB state store."""
+    return events.groupBy("user_id").transformWithStateInPandas(Silence(seconds), "user_id long, silent_since timestamp, events_then long", "Append", "EventTime")

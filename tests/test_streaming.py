@@ -105,3 +105,38 @@ def test_late_rows_are_left_out(spark, tmp_path):
 
 def test_registered_stream(spark, small):
     assert plans.streamed_totals(spark, small).count() == 5
+
+
+def _silences(rows, seconds, until):
+    """Times (ms) after which a user has no event for so long, as plain lists; rows of user and hours."""
+    out = []
+    for user in {u for u, _ in rows}:
+        times = sorted(h for u, h in rows if u == user)
+        for t in sorted(set(times)):
+            if not any(t < x <= t + seconds / 3600 for x in times) and t + seconds / 3600 <= until:
+                out.append((user, t, times.count(t)))
+    return sorted(out)
+
+
+def test_silence_over_late_rows_and_a_restart(spark, tmp_path):
+    """Rows that come late, but not too late, break a silence that seemed to be one; the stream stops and goes on."""
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    batches = [[(1, 0), (1, 0), (2, 1), (1, 9)], [(1, 5), (1, 8), (3, 11)], [(2, 4), (1, 12), (2, 30)], [(3, 31), (1, 60)]]
+    folder = str(tmp_path / "silence")
+    for n, rows in enumerate(batches):
+        spark.createDataFrame([(10 * n + i, at(h), u, "click", 1.0, "{}") for i, (u, h) in enumerate(rows)], E.SCHEMA).coalesce(2).write.mode("append").parquet(f"{folder}/in")
+        stream = E.read_stream(spark, f"{folder}/in", 100).withWatermark("ts", "8 hours")
+        with streams._rocks(spark):
+            found = streams._appended(E.silences(stream, 6 * 3600), folder)
+    hours = lambda t: (t - at(0)).total_seconds() / 3600
+    rows = [r for b in batches for r in b]
+    assert sorted((r.user_id, hours(r.silent_since), r.events_then) for r in found.collect()) == _silences(rows, 6 * 3600, 52)
+
+
+def test_silent_users(spark, small):
+    found = sorted((r.user_id, r.silent_since, r.events_then) for r in streams.silent_users(spark, small).collect())
+    start = dt.datetime(2024, 1, 1)
+    rows = [(r.user_id, (r.ts.replace(microsecond=r.ts.microsecond // 1000 * 1000) - start).total_seconds() / 3600) for r in table(spark, small, "events").collect()]
+    until = max(h for _, h in rows) - 1
+    assert [(u, round((t - start).total_seconds() / 3600, 6), n) for u, t, n in found] == [(u, round(h, 6), n) for u, h, n in _silences(rows, 6 * 3600, until)]
+    assert len(found) > 100
