@@ -30,7 +30,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = WORD_VOCABUL
     each column for the file, for each stripe and for each ``INDEX_ROWS`` rows, and a Bloom
     filter on doc_id, so that a reader of some ids skips what cannot hold them.
 
-    A null text has the end id alone; null ids come first; rows of one id are ordered by text;
+    A null text has the end id alone; null ids come first; rows of one id may lie in several files, in the order of a hash of their texts;
     an empty table makes files without rows; other columns are ignored.
     """
     files = files or docs.rdd.getNumPartitions()
@@ -49,9 +49,11 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = WORD_VOCABUL
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(encoded)))
                 yield batch(schema, doc_ids[i : i + 512], ends[:-1], sizes, lists)
 
-    rows = docs.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id, null ids above all, are dealt to several files by a hash and, if they are the same rows, by their number
+    order = ["doc_id", "hash", "row"]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row")).repartitionByRange(files, *order).sortWithinPartitions(*order)
     (
-        arrow_map(rows, run, "doc_id long, local_start long, n_tokens long, ids array<int>")
+        arrow_map(rows.select("doc_id", "text"), run, "doc_id long, local_start long, n_tokens long, ids array<int>")
         .write.option("orc.stripe.size", stripe_bytes)
         .option("orc.row.index.stride", INDEX_ROWS)
         .option("orc.create.index", "true")

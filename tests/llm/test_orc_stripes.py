@@ -87,3 +87,19 @@ def test_odd_rows_come_back(spark, odd, rows_of):
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 1]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_rows_without_an_id_are_dealt_to_several_files(spark):
+    """A third of the rows have no id and another third one id and text; no file holds much more than its share."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(1200).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 1, "same").otherwise(F.concat(F.lit("word "), "id")).alias("text"))
+    path = f"{shared_folder(spark)}/hot"
+    token_files.write_token_files(docs, path, files=6)
+    sizes = [r["count"] for r in token_files.read_token_files(spark, path).groupBy("part").count().collect()]
+    assert sum(sizes) == 1200 and len(sizes) == 6 and max(sizes) < 400
+    rows = token_files.positions(spark, path).orderBy("start").collect()
+    starts = [r.start for r in rows]
+    assert starts == [sum(r.n_tokens for r in rows[:i]) for i in range(len(rows))]
+    ids = [r.doc_id for r in rows]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
