@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..sources.intermediate import written
 from .ranking import top_per_group
 
-#: Query vectors that are held against the table in one pass.
-PASS = 50_000
+#: Query vectors that are held against the table in one pass, their bytes, and those that are held against a batch at once.
+PASS, PASS_BYTES, _QUERIES_AT_ONCE = 50_000, 64 << 20, 1024
 #: Vectors that centres are fitted on, about, rounds of fitting, and the share of the nearest that is aimed at.
 SAMPLE, ROUNDS, RECALL = 20_000, 8, 0.95
 
@@ -29,7 +29,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, most: int = PASS) ->
     """query_id, vec_id, similarity (cosine) and rank: the k vectors nearest to each query, itself left out.
 
     ``queries`` and ``vectors`` have vec_id and embedding. Queries go over the table in passes of at most ``most``;
-    each Arrow batch gives at most k rows for each query, so what is shuffled is small and nothing is
+    each task gives at most k rows for each query, so what is shuffled is small and nothing is
     collected but the queries of one pass. Of equal similarities (to 9 digits) the least id is nearest. Null vectors, and
     vectors without a length, are near to nothing.
     """
@@ -66,34 +66,46 @@ def _searched(queries: DataFrame, vectors: DataFrame, k: int, most: int, centres
     return _ranked(reduce(DataFrame.unionByName, results), k)
 
 
+class _Best:
+    """The k best vectors of each query so far: by similarity, of equal ones the least id."""
+
+    def __init__(self, queries: int, k: int):
+        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
+        self.similarity = np.full((queries, k), -np.inf)
+
+    def add(self, at: np.ndarray, ids: np.ndarray, own: np.ndarray, similarity: np.ndarray) -> None:
+        """``similarity`` of the queries numbered ``at``, whose ids are ``ids``, to the vectors ``own``, ascending."""
+        similarity[ids[:, None] == own[None]] = -np.inf
+        k = self.ids.shape[1]
+        best = np.argsort(-similarity, axis=1, kind="stable")[:, :k]
+        both = np.concatenate([self.similarity[at], np.take_along_axis(similarity, best, axis=1)], axis=1)
+        names = np.concatenate([self.ids[at], own[best]], axis=1)
+        order = np.argsort(names, axis=1, kind="stable")
+        order = np.take_along_axis(order, np.argsort(-np.take_along_axis(both, order, axis=1), axis=1, kind="stable"), axis=1)[:, :k]
+        self.similarity[at], self.ids[at] = np.take_along_axis(both, order, axis=1), np.take_along_axis(names, order, axis=1)
+
+
 def _held_against(shared, k: int, probes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The k best vectors of each batch for every query, among those of the cells that it probes."""
+    """The k best vectors of all batches of a task for every query, among those of the cells that it probes: given once, at the end."""
     ids, matrix, centres = shared.value
     probed = None if centres is None else np.argsort(-(matrix @ centres.T), axis=1, kind="stable")[:, :probes]
+    best = _Best(len(ids), k)
     for b in batches:
         own, rows = _unit(b.column("vec_id").to_pylist(), b.column("embedding").to_pylist())
         if not len(own):
             continue
         order = np.argsort(own, kind="stable")  # among equals the least id comes first
         own, rows = own[order], rows[order]
-        if probed is None:
-            yield from _best(ids, matrix, own, rows, k)
-            continue
-        cell = np.argmax(rows @ centres.T, axis=1)
+        cell = np.zeros(len(own), np.int64) if probed is None else np.argmax(rows @ centres.T, axis=1)
         for c in np.unique(cell):
-            asking = (probed == c).any(1)
-            yield from _best(ids[asking], matrix[asking], own[cell == c], rows[cell == c], k)
-
-
-def _best(ids: np.ndarray, matrix: np.ndarray, own: np.ndarray, rows: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(ids), 1024):
-        some = np.round(matrix[at : at + 1024] @ rows.T, 9)
-        some[ids[at : at + 1024][:, None] == own[None]] = -np.inf
-        best = np.argsort(-some, axis=1, kind="stable")[:, :k]
-        value = np.take_along_axis(some, best, axis=1)
-        kept = np.isfinite(value)
-        query = np.repeat(ids[at : at + 1024], best.shape[1]).reshape(best.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(query[kept]), pa.array(own[best][kept]), pa.array(value[kept])], schema=_PAIRS)
+            asking = np.arange(len(ids)) if probed is None else np.flatnonzero((probed == c).any(1))
+            mine = cell == c
+            for at in range(0, len(asking), _QUERIES_AT_ONCE):
+                some = asking[at : at + _QUERIES_AT_ONCE]
+                best.add(some, ids[some], own[mine], np.round(matrix[some] @ rows[mine].T, 9))
+    found = np.isfinite(best.similarity)
+    query = np.repeat(ids, k).reshape(best.ids.shape)
+    yield pa.RecordBatch.from_arrays([pa.array(query[found]), pa.array(best.ids[found]), pa.array(best.similarity[found])], schema=_PAIRS)
 
 
 def _drawn(vectors: DataFrame, sample: int) -> np.ndarray:
@@ -144,11 +156,13 @@ def _unit(ids: list, vectors: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _passes(queries: DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    some: list = []
+    """The queries in parts of at most ``most`` vectors and about ``PASS_BYTES`` bytes."""
+    some, held = [], 0
     for r in queries.select("vec_id", "embedding").toLocalIterator():
         some.append((r["vec_id"], r["embedding"]))
-        if len(some) == most:
+        held += 8 * len(r["embedding"] or ())
+        if len(some) == most or held >= PASS_BYTES:
             yield _unit(*zip(*some, strict=True))
-            some = []
+            some, held = [], 0
     if some and len((found := _unit(*zip(*some, strict=True)))[0]):
         yield found

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -113,6 +114,46 @@ def paired_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clicked.cogroup(bought).applyInPandas(paired, "user_id long, clicks long, purchases long, spent double")
 
 
+def argued_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions by a table function whose argument is a table, partitioned by user and ordered by time, in Arrow batches. A session
+    that is open at the end of a batch goes on in the next, so a user's rows are never together."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts")
+    return _Sessions(events.asTable().partitionBy("user_id").orderBy("ts"))
+
+
+@F.arrow_udtf(returnType="user_id long, session_start timestamp_ntz, session_end timestamp_ntz, n long")
+class _Sessions:
+    GAP = 6 * 3600 * 1_000_000
+
+    def __init__(self):
+        self.user, self.start, self.last, self.n = None, None, None, 0
+
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        if not rows.num_rows:
+            return
+        times = rows.column("ts").cast(pa.timestamp("us")).to_numpy(zero_copy_only=False).astype("int64")
+        self.user = rows.column("user_id")[0].as_py()
+        done = []
+        for at in np.split(times, np.flatnonzero(np.diff(times) >= self.GAP) + 1):
+            if self.n and at[0] - self.last >= self.GAP:
+                done.append((self.start, self.last, self.n))
+                self.n = 0
+            self.start = int(at[0]) if not self.n else self.start
+            self.last, self.n = int(at[-1]), self.n + len(at)
+        if done:
+            yield self._told(done)
+
+    def terminate(self) -> Iterator[pa.Table]:
+        if self.n:
+            yield self._told([(self.start, self.last, self.n)])
+
+    def _told(self, done: list[tuple[int, int, int]]) -> pa.Table:
+        starts, lasts, counts = zip(*done, strict=True)
+        time = lambda us: pa.array(us, pa.int64()).cast(pa.timestamp("us"))
+        names = ["user_id", "session_start", "session_end", "n"]
+        return pa.table([pa.array([self.user] * len(done), pa.int64()), time(starts), time([t + self.GAP for t in lasts]), pa.array(counts, pa.int64())], names=names)
+
+
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scalar and a table function written in SQL, which Spark inlines."""
     table(spark, sf_dir, "events").createOrReplaceTempView("quire_events")
@@ -121,18 +162,18 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT quire_band(value) AS band, count(*) AS n, count(DISTINCT user_id) AS users FROM quire_of_type('purchase') GROUP BY 1")
 
 
+_SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM g)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, nth"""
+
 QUERIES = {
     "tumbling_windows": (tumbling_windows, "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"),
     "sliding_windows": (
         sliding_windows,
         "SELECT w AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT *, unnest([time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 6 HOUR]) AS w FROM events) GROUP BY 1, 2",
     ),
-    "user_sessions": (
-        user_sessions,
-        """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM g)
-SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, nth""",
-    ),
+    "user_sessions": (user_sessions, _SESSIONS),
+    "argued_sessions": (argued_sessions, _SESSIONS),
     "streamed_totals": (streamed_totals, "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1"),
     "user_profiles": (
         user_profiles,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pages as P
+from ..functions.entities import unescaped
 from ..sources.tables import table
 
 
@@ -21,12 +22,21 @@ def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def unescaped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with every character reference decoded: their lengths and digests."""
+    whole = table(spark, sf_dir, "pages").select("page_id", unescaped(F.col("html")).alias("text"))
+    return whole.select("page_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 _CLEAN = r"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script.*?</script>', ' ', 'g')"
 _ARTICLE = rf"regexp_extract({_CLEAN}, '(?is)<article[^>]*>(.*?)</article>', 1)"
 _TEXT = rf"regexp_replace(regexp_replace(regexp_replace({_ARTICLE}, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
 _DECODED = f"replace(replace(replace(replace(replace(replace(replace(replace({_TEXT}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
 
+_UNESCAPED = "replace(replace(replace(replace(html, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+
 QUERIES = {
+    "unescaped_pages": (unescaped_pages, f"SELECT page_id, length({_UNESCAPED}) AS n_chars, md5({_UNESCAPED}) AS text_md5 FROM pages"),
     "page_articles": (
         page_articles,
         rf"""SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)) AS host,

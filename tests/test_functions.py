@@ -69,3 +69,21 @@ def test_time_joins_against_brute_force(spark, lefts, rights):
         assert found[i] == max((rt for _, rk, rt in rows(rights) if rk == k and rt <= t), default=None)
     pairs = sorted((r.id, r.rid) for r in within(a, b, "k", "t", "rt", 600).collect())
     assert pairs == sorted((i, j) for i, k, t in rows(lefts) for j, rk, rt in rows(rights) if k == rk and t <= rt <= t + dt.timedelta(minutes=10))
+
+
+def test_references_as_the_standard_library_has_them(spark):
+    import html
+    import random
+    from html.entities import html5
+
+    from quire.functions.entities import unescaped
+
+    rng = random.Random(2)
+    names = list(html5)
+    texts = [None, "", "no reference", "&", "&&amp;amp;", "&amp;lt;", "&notit; &notin; &not", "&copyright &copy &COPY;", "&#", "&#;", "&#x;", "&#xZ;", "&unknown;", "a &b; c", "&#0;&#13;&#128;&#x9f;&#x81;&#xD800;&#x110000;&#99999999999999999999;&#00000065;&#x1F600;&#8364", "&#1;&#11;&#xFDD0;&#xFFFE;&#x1FFFF;&#10;x", "&" + "a" * 50 + ";", "&ampé;"]
+    texts += ["".join(rng.choice(["&", "#", "x", ";", "12", "41", "amp", "lt", " ", "é", "q", *rng.choices(names, k=3)]) for _ in range(rng.randint(1, 15))) for _ in range(300)]
+    texts += [f"<{'&' + n}>" for n in names]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    found = {r.id: r.u for r in df.select("id", unescaped(F.col("t")).alias("u")).collect()}
+    wrong = [(t, found[i], html.unescape(t)) for i, t in enumerate(texts) if found[i] != (None if t is None else html.unescape(t))]
+    assert not wrong, wrong[:5]

@@ -87,3 +87,23 @@ def test_only_probed_cells_are_searched(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     found = approximate_nearest(df.where("vec_id in (0, 100)"), df, 15, cells=2).collect()
     assert len(found) == 30 and all((r.query_id < 100) == (r.vec_id < 100) for r in found)
+
+
+def test_a_task_gives_its_best_once(spark):
+    """However many batches a task reads, no more than k rows a query and task come out; ties go to the least id in any of them."""
+
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(500)] + [(500, None), (501, [0.0] * 6)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    asked = vectors.where("vec_id % 50 = 0")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        found = nearest(asked, vectors, 4)
+        got = {(r.query_id, r["rank"]): r.vec_id for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v and any(v)}
+    for q in [i for i in unit if i % 50 == 0]:
+        order = sorted((i for i in unit if i != q), key=lambda i: (-round(float(unit[q] @ unit[i]), 9), i))[:4]
+        assert [got[q, k] for k in range(1, 5)] == order

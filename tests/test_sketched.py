@@ -44,3 +44,16 @@ def test_sketches_are_within_their_bounds(spark):
     assert [(r.event_type, r.other) for r in common] == [("a", "b")]
     shared = len(users["a"] & users["b"])
     assert abs(common[0].common - shared) <= 4 * sketches.ERROR["theta"] * len(users["a"] | users["b"])
+
+
+def test_sessions_that_go_on_in_the_next_batch(spark, small):
+    """The table function gets a user's rows two at a time."""
+    from quire.plans import events
+
+    wanted = sorted(map(tuple, events.user_sessions(spark, small).collect()))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert sorted(map(tuple, events.argued_sessions(spark, small).collect())) == wanted
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
