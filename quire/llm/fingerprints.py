@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import arrow_map, batch, columns, written
@@ -53,19 +53,23 @@ def _packed(canon: bytes) -> bytes:
 
 
 def digests(docs: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """doc_id, digest, check_a and check_b of each whole text; a null text counts as empty."""
+    """doc_id, hash (of the text as it is), digest, check_a and check_b of each whole text; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = columns(b, "doc_id", "text")
+            ids, texts, hashes = columns(b, "doc_id", "text", "hash")
             canons = [canonical(t or "").encode() for t in texts]
             found = list(map(checks, canons))
-            yield batch(_DIGESTS, ids, [digest(c, digits) for c in canons], [a for a, _ in found], [b for _, b in found])
+            yield batch(_DIGESTS, ids, hashes, [digest(c, digits) for c in canons], [a for a, _ in found], [b for _, b in found])
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, digest string, check_a long, check_b long")
+    return arrow_map(docs.select("doc_id", "text", _hash()), run, "doc_id long, hash long, digest string, check_a long, check_b long")
 
 
-_DIGESTS = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("check_a", pa.int64()), ("check_b", pa.int64())])
+def _hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")
+
+
+_DIGESTS = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("digest", pa.string()), ("check_a", pa.int64()), ("check_b", pa.int64())])
 
 
 def collisions(packed: DataFrame, forms: DataFrame) -> DataFrame | None:
@@ -126,20 +130,20 @@ def edits(docs: DataFrame, digits: int = DIGITS) -> DataFrame:
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Which digests occur more than once is found first, from the digests alone. Then the
-    documents are dealt by ranges of doc_id and read in order, so a document meets its successor
+    documents are dealt by ranges of doc_id and a hash of the text and read in order, so a document meets its successor
     in the same task; only the first and last document of each range, a row a
     task each, are matched by a join. Documents of repeated digests hand on their packed forms for the
     comparison by bytes; edited texts are held against them by their SHA-256 (``collisions``). Nulls: a null
-    text is empty, null ids come first, rows of one id are ordered by text; a table of one row is its own
+    text is empty, null ids come first, rows of one id are ordered by the hash, which deals those without an id to many tasks; a table of one row is its own
     successor; an empty table gives no rows.
     """
     found = written(digests(docs, digits), "digests")
     many = written(found.groupBy("digest").count().where("count > 1").select("digest"), "many")
-    repeated = found.join(many, "digest", "left_semi").select("doc_id").distinct()
+    repeated = found.join(many, "digest", "left_semi").select("doc_id", "hash").distinct()
     n = docs.rdd.getNumPartitions()
-    flags = repeated.select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(0).alias("kind"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(1).alias("kind")).unionByName(flags)
-    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "kind", "text")
+    flags = repeated.select("doc_id", "hash", F.lit(None).cast("string").alias("text"), F.lit(0).alias("kind"))
+    rows = docs.select("doc_id", _hash(), F.coalesce("text", F.lit("")).alias("text"), F.lit(1).alias("kind")).unionByName(flags)
+    dealt = rows.repartitionByRange(n, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "kind", "text")
     passed = written(arrow_map(dealt, partial(_in_order, digits=digits), _PASSED), "passed")
     done = passed.where("edge = ''").drop("edge", "part", "text", "next_text")
     everything = done.unionByName(written(_edges(passed.where("edge <> ''"), digits), "edges"))
@@ -169,7 +173,7 @@ def _judged(text: str, successor: str, digits: int) -> tuple:
 
 
 def _in_order(batches: Iterator[pa.RecordBatch], digits: int) -> Iterator[pa.RecordBatch]:
-    """Rows of one range in order; kind 0 marks an id whose digest is repeated. The first text goes
+    """Rows of one range in order; kind 0 marks an id and hash whose digest is repeated. The first text goes
     out as an edge for the range before, the last one as an edge that waits for the range after."""
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     marked, held, first = object(), None, True
@@ -181,16 +185,16 @@ def _in_order(batches: Iterator[pa.RecordBatch], digits: int) -> Iterator[pa.Rec
 
     for b in batches:
         out = []
-        for doc_id, text, kind in zip(*columns(b, "doc_id", "text", "kind"), strict=True):
+        for doc_id, hash_, text, kind in zip(*columns(b, "doc_id", "hash", "text", "kind"), strict=True):
             if kind == 0:
-                marked = doc_id
+                marked = (doc_id, hash_)
                 continue
             if first:
                 out.append((None, *blank, None, "first", part, text, None))
                 first = False
             if held is not None:
                 out.append((held[0], *_judged(held[1], text, digits), packed(*held[1:]), "", part, None, None))
-            held = (doc_id, text, marked == doc_id)
+            held = (doc_id, text, marked == (doc_id, hash_))
         yield batch(schema, *(zip(*out, strict=True) if out else [[]] * len(schema)))
     if held is not None:
         yield batch(schema, *zip((held[0], *blank, packed(*held[1:]), "last", part, held[1], None)))

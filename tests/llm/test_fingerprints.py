@@ -2,13 +2,22 @@ from __future__ import annotations
 
 import hashlib
 
+import xxhash
+
+from pyspark.sql import functions as F
+
 from quire.llm import fingerprints, queries
 from quire.llm.frames import table
 
 
+def _order(row):
+    hashed = xxhash.xxh64_intdigest(row[1].encode(), 42)
+    return row[0] is not None, row[0] or 0, hashed - (hashed >> 63 << 64)
+
+
 def _expected(rows):
-    """doc_id, n_chars and edited hash by brute force; rows sorted by (doc_id, text), null ids first."""
-    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    """doc_id, n_chars and edited hash by brute force; rows sorted by doc_id and the text's hash, null ids first."""
+    rows = sorted(((i, t or "") for i, t in rows), key=_order)
     out = []
     for n, (doc_id, text) in enumerate(rows):
         following = rows[(n + 1) % len(rows)][1]
@@ -62,7 +71,7 @@ def test_equal_digests_with_different_bytes(spark, small):
     """Digests cut to one hex digit, so that nearly every bucket holds many forms."""
     own = [(1, "abcd"), (2, "xyzz"), (3, "abxy"), (4, "ABXY "), (5, None), (None, "abcd")]
     docs = spark.createDataFrame(own, "doc_id long, text string").unionByName(table(spark, small, "documents").selectExpr("doc_id + 100", "text").toDF("doc_id", "text"))
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=_order)
     found = {r.doc_id: r for r in fingerprints.edits(docs, digits=1).collect()}
     form_of, name_of = {}, {}
     for n, (doc_id, text) in enumerate(rows):
@@ -83,3 +92,11 @@ def test_one_collision_is_enough(spark):
     assert fingerprints.collisions(packed.where("digest = 'e'"), forms.where("digest = 'e'")) is None
     edited = spark.createDataFrame([("e", 3, 3), ("e", 4, 3)], forms.schema)  # only an edited text differs
     assert fingerprints.collisions(packed.where("digest = 'e'"), edited).count() == 2
+
+
+def test_rows_without_an_id_are_dealt_to_several_tasks(spark):
+    rows = [(None if i % 3 == 0 else i, f"{i // 6} Text  of a few" if i % 2 else f"{i} words in a row") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    _compare(fingerprints.edits(docs).collect(), rows)
+    dealt = docs.select("doc_id", fingerprints._hash()).repartitionByRange(6, "doc_id", "hash")
+    assert max(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()) < 300
