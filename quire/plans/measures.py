@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from ..sources.tables import table
 STOP_WORDS = ["the", "of", "and", "to", "in", "der", "die", "und", "zu", "la", "le", "et", "les", "el", "los", "que"]
 #: Characters that a line has at least, and documents that it stands in, for it to be a repeated line.
 LINE, DOCUMENTS = 21, 3
+#: A document's measures and the ranges, ends included, in which each gives a point.
+RANGES = {"n_words": (20, 100_000), "symbols": (0.0, 0.1), "word_length": (3.0, 10.0), "stop_words": (0.02, 0.7), "repeated_lines": (0.0, 0.2)}
 
 
 def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +62,26 @@ def rule_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("*", share("tp", "fp").alias("precision"), share("tp", "fn").alias("recall"))
 
 
+def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of each document by its measures, a point for each that lies in its range, and the queue it goes to.
+
+    A measure that has nothing to divide by gives no point, so a text without words or lines is refused.
+    """
+    measured = _measures(table(spark, sf_dir, "documents"), "doc_id", "lang", "source")
+    points = [F.when(F.col(name).between(low, high), 1).otherwise(0) for name, (low, high) in RANGES.items()]
+    score = reduce(add, points).cast("long")
+    queue = F.when(F.col("score") == len(points), "accepted").when(F.col("score") >= len(points) - 1, "reviewed").otherwise("refused")
+    return measured.withColumn("score", score).select("doc_id", "lang", "source", "score", queue.alias("queue"))
+
+
+def queue_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queues against the labels: documents, those labelled, and the share of good and of toxic ones among these."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    rows = scored_documents(spark, sf_dir).join(labels, "doc_id", "left")
+    mean = lambda c: F.round(F.avg(c), 6).alias(c)
+    return rows.groupBy("queue").agg(F.count("*").alias("documents"), F.count("quality").alias("labelled"), mean("quality"), mean("toxic"))
+
+
 def _long_lines(docs: DataFrame) -> DataFrame:
     line: Column = F.explode(text.lines(F.col("text")))
     return docs.select("doc_id", line.alias("line")).where(F.length("line") >= LINE).select("doc_id", F.md5("line").alias("line_md5"))
@@ -91,13 +116,19 @@ for _kind in fields.MASKED:
     _MASKED = f"regexp_replace({_MASKED}, '{_pattern}', '[{_kind.upper()}]', 'g')"
 _IN_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _MEASURES = rf"""(WITH w AS (SELECT *, regexp_extract_all(lower(text), '\p{{L}}+') AS ws, list_filter(string_split(text, chr(10)), lambda l: l <> '') AS ls FROM documents)
-SELECT doc_id, lang, len(ws) AS n_words, round(CAST(length(regexp_replace(text, '[\p{{L}}\p{{N}}\s]', '', 'g')) AS DOUBLE) / nullif(length(text), 0), 6) AS symbols,
+SELECT doc_id, lang, source, len(ws) AS n_words, round(CAST(length(regexp_replace(text, '[\p{{L}}\p{{N}}\s]', '', 'g')) AS DOUBLE) / nullif(length(text), 0), 6) AS symbols,
 round(CAST(list_sum(list_transform(ws, lambda x: length(x))) AS DOUBLE) / nullif(len(ws), 0), 6) AS word_length,
 round(CAST(len(list_filter(ws, lambda x: x IN ({_IN_STOP}))) AS DOUBLE) / nullif(len(ws), 0), 6) AS stop_words,
 round(CAST(len(ls) - len(list_distinct(ls)) AS DOUBLE) / nullif(len(ls), 0), 6) AS repeated_lines FROM w)"""
 _LINES = f"(SELECT doc_id, md5(line) AS line_md5 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= {LINE})"
 
+_POINTS = " + ".join(f"(CASE WHEN {name} BETWEEN {low} AND {high} THEN 1 ELSE 0 END)" for name, (low, high) in RANGES.items())
+_SCORED = f"""(SELECT doc_id, lang, source, score, CASE WHEN score = {len(RANGES)} THEN 'accepted' WHEN score >= {len(RANGES) - 1} THEN 'reviewed' ELSE 'refused' END AS queue
+FROM (SELECT *, CAST({_POINTS} AS BIGINT) AS score FROM {_MEASURES}))"""
+
 QUERIES = {
+    "scored_documents": (scored_documents, f"SELECT * FROM {_SCORED}"),
+    "queue_quality": (queue_quality, f"SELECT queue, count(*) AS documents, count(quality) AS labelled, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic FROM {_SCORED} LEFT JOIN labels USING (doc_id) GROUP BY 1"),
     "masked_documents": (masked_documents, f"SELECT doc_id, md5(m) AS masked_md5, m <> text AS changed, length(text) - length(m) AS shorter FROM (SELECT doc_id, text, {_MASKED} AS m FROM documents)"),
     "text_measures": (text_measures, f"SELECT doc_id, n_words, symbols, word_length, stop_words, repeated_lines FROM {_MEASURES}"),
     "rule_evaluation": (

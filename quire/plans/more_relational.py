@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import quantiles
 from ..sources.tables import table
 
 #: Relative error that the sketches of ``distinct_estimates`` must keep to.
@@ -43,20 +44,22 @@ def segment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distinct_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact counts, and whether the sketches (a few kilobytes a group, whatever its size) come near them:
     HyperLogLog, theta and KLL."""
+    exact = quantiles(table(spark, sf_dir, "events"), "event_type", "value", {"low": 0.45, "high": 0.55})
     events = table(spark, sf_dir, "events")
     users = F.countDistinct("user_id")
     near = lambda estimate: F.abs(estimate - users) <= F.greatest(F.lit(1.0), BOUND * users)
-    exact = lambda share: F.percentile("value", F.lit(share))
     middle = F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("value"), F.lit(0.5))
-    return events.groupBy("event_type").agg(
+    estimated = events.groupBy("event_type").agg(
         users.alias("users"),
         F.count("*").alias("n"),
         near(F.approx_count_distinct("user_id", 0.02)).alias("approx_near"),
         near(F.hll_sketch_estimate(F.hll_sketch_agg("user_id"))).alias("hll_near"),
         near(F.theta_sketch_estimate(F.theta_sketch_agg("user_id"))).alias("theta_near"),
-        middle.between(exact(0.45), exact(0.55)).alias("kll_near"),
-        F.percentile_approx("value", 0.5, 1000).between(exact(0.45), exact(0.55)).alias("median_near"),
+        middle.alias("kll"),
+        F.percentile_approx("value", 0.5, 1000).alias("median"),
     )
+    near_middle = lambda c: F.col(c).between(F.col("low"), F.col("high")).alias(f"{c}_near")
+    return estimated.join(exact, "event_type").select("event_type", "users", "n", "approx_near", "hll_near", "theta_near", near_middle("kll"), near_middle("median"))
 
 
 def frequent_types(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import blocks as B
 from ..functions import pages as P
 from ..functions.entities import unescaped
 from ..sources.tables import table
@@ -28,14 +29,58 @@ def unescaped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("page_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block of every page that has text, with its measures and whether it is content."""
+    each = B.blocks(table(spark, sf_dir, "pages"), "page_id", "html").select("page_id", F.posexplode_outer("blocks").alias("pos", "b")).where("pos is not null")
+    return each.select("page_id", F.col("pos").cast("long").alias("pos"), F.md5("b.text").alias("text_md5"), "b.words", F.round("b.share", 6).alias("share"), "b.region", "b.content")
+
+
+def page_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without their boilerplate: what is kept of their blocks and words, and the text as a digest."""
+    whole = B.blocks(table(spark, sf_dir, "pages"), "page_id", "html")
+    kept = whole.select("page_id", F.size("blocks").cast("long").alias("blocks"), F.filter("blocks", lambda b: b["content"]).alias("kept"))
+    words = F.aggregate("kept", F.lit(0).cast("long"), lambda n, b: n + b["words"])
+    return kept.select("page_id", "blocks", F.size("kept").cast("long").alias("kept"), words.alias("words"), F.md5(F.array_join("kept.text", "\n")).alias("text_md5"))
+
+
 _CLEAN = r"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script.*?</script>', ' ', 'g')"
 _ARTICLE = rf"regexp_extract({_CLEAN}, '(?is)<article[^>]*>(.*?)</article>', 1)"
 _TEXT = rf"regexp_replace(regexp_replace(regexp_replace({_ARTICLE}, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
 _DECODED = f"replace(replace(replace(replace(replace(replace(replace(replace({_TEXT}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
 
+def _plain_sql(html: str) -> str:
+    text = f"regexp_replace({html}, '(?s)<[^>]*>', ' ', 'g')"
+    for name, character in P.ENTITIES.items():
+        text = f"replace({text}, '{name}', '{character.replace(chr(39), chr(39) * 2)}')"
+    return f"trim(regexp_replace({text}, '[ \t\r\n]+', ' ', 'g'))"
+
+
+def _hidden_sql(html: str) -> str:
+    for pattern in B.HIDDEN:
+        html = f"regexp_replace({html}, '{pattern}', ' ', 'g')"
+    return html
+
+
+_WORDS_OF = lambda text: f"(CASE WHEN {text} = '' THEN 0 ELSE len(string_split({text}, ' ')) END)"
+_BLOCKS = rf"""
+WITH marked AS (SELECT page_id, regexp_replace(regexp_replace({_hidden_sql("html")}, '(?i)(<({B.REGIONS})(\s[^>]*)?>)', chr(2) || '\1', 'g'), '(?i)(</({B.REGIONS})\s*>)', '\1' || chr(2), 'g') AS m FROM pages),
+segments AS (SELECT page_id, generate_subscripts(string_split(m, chr(2)), 1) AS i, unnest(string_split(m, chr(2))) AS s FROM marked),
+cut AS (SELECT page_id, i, s, string_split_regex(s, '(?i)</?(?:{B.BLOCKS})(?:\s[^>]*)?/?>') AS ps FROM segments),
+pieces AS (SELECT page_id, i, generate_subscripts(ps, 1) AS j, unnest(ps) AS p, regexp_matches(s, '(?i)^<({B.REGIONS})[\s>]') AS region FROM cut),
+texts AS (SELECT *, {_plain_sql("p")} AS t, list_transform(regexp_extract_all(p, '(?is)<a(\s[^>]*)?>(.*?)</a>', 2), lambda a: {_plain_sql("a")}) AS links FROM pieces),
+shares AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i, j) - 1 AS pos, t, region, {_WORDS_OF("t")} AS words, coalesce(list_sum(list_transform(links, lambda x: {_WORDS_OF("x")})), 0) / {_WORDS_OF("t")} AS share FROM texts WHERE t <> ''),
+near AS (SELECT *, coalesce(lag(words) OVER w, 0) AS wb, coalesce(lead(words) OVER w, 0) AS wa, coalesce(lag(share) OVER w, 0) AS sb FROM shares WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
+blocks AS (SELECT *, NOT region AND share <= {B.LINKED!r} AND NOT CASE WHEN sb <= {B.LINKED_BEFORE!r} THEN words <= {B.FEW} AND wa <= {B.FEW_AFTER} AND wb <= {B.FEW_BEFORE} ELSE words <= {B.FEW_AFTER_LINKS} AND wa <= {B.NEXT_AFTER_LINKS} END AS content FROM near)"""
+
 _UNESCAPED = "replace(replace(replace(replace(html, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
 
 QUERIES = {
+    "page_blocks": (page_blocks, f"{_BLOCKS} SELECT page_id, pos, md5(t) AS text_md5, CAST(words AS BIGINT) AS words, round(share, 6) AS share, region, content FROM blocks"),
+    "page_contents": (
+        page_contents,
+        f"""{_BLOCKS} SELECT page_id, count(t) AS blocks, count(*) FILTER (content) AS kept, CAST(coalesce(sum(words) FILTER (content), 0) AS BIGINT) AS words,
+md5(coalesce(string_agg(t, chr(10) ORDER BY pos) FILTER (content), '')) AS text_md5 FROM pages LEFT JOIN blocks USING (page_id) GROUP BY 1""",
+    ),
     "unescaped_pages": (unescaped_pages, f"SELECT page_id, length({_UNESCAPED}) AS n_chars, md5({_UNESCAPED}) AS text_md5 FROM pages"),
     "page_articles": (
         page_articles,
