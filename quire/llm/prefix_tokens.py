@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 from operator import sub
 
 import numpy as np
@@ -18,9 +19,9 @@ from .tokens import BYTE_SPLIT, BYTE_VOCABULARY, SPACE, ByChunk, Remembered, byt
 LIMIT = 1024
 #: Bytes after which the state of a piece is kept for others that begin alike; how many are kept.
 STEM, MOST_STEMS = 6, 200_000
-#: Pairs of tokens whose merging is remembered.
-MOST_PAIRS = 1_000_000
-_FRESH = ([0], [""], [])
+#: Pairs of tokens whose merging is remembered; ends of pieces whose tokens are.
+MOST_PAIRS, MOST_ENDS = 1_000_000, 500_000
+_FRESH = ([0], [""], "")
 
 _CONTRACTIONS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
 _RUN = regex.compile(f"[{SPACE}]{{2}}")
@@ -50,6 +51,7 @@ class PrefixCounter:
         self.special = regex.compile("|".join(map(regex.escape, special)) or "(?!)")
         self.apart: dict[tuple[str, str], bool] = {}
         self.stems: dict[str, tuple] = {}
+        self.ends: dict[str, tuple] = {}
 
     def stay_apart(self, a: str, b: str) -> bool:
         """Whether the tokens a and b, side by side, are what they are merged to together."""
@@ -59,28 +61,32 @@ class PrefixCounter:
         self.apart[a, b] = found
         return found
 
+    def tokens_at(self, end: str) -> tuple[str, tuple[str, ...]]:
+        """The longest part at the end of ``end`` that begins a token, and the tokens at its end, longest first."""
+        if len(self.ends) > MOST_ENDS:
+            self.ends.clear()
+        begun = next(end[i:] for i in range(len(end)) if end[i:] in self.begins)
+        found = begun, tuple(begun[i:] for i in range(len(begun)) if self.begins.get(begun[i:]))
+        self.ends[end] = found
+        return found
+
     def of_bytes(self, piece: str) -> list[int]:
         """Counts at the byte prefixes 1 to n of a piece that the pre-tokenizer leaves whole, its
         bytes written as letters."""
         counts, last, begun = self.stems.get(piece[:STEM], _FRESH)
-        counts, last, apart = counts[:], last[:], self.apart
+        counts, last, apart, ends = counts[:], last[:], self.apart, self.ends
         for end in range(len(counts), len(piece) + 1):
-            alive, best = [], -1
-            for start in (*begun, end - 1):
-                token = piece[start:end]
-                complete = self.begins.get(token)
-                if complete is None:
-                    continue  # no token begins like this, nor will one with more bytes
-                alive.append(start)
-                if complete and best < 0:
-                    known = apart.get((last[start], token))
-                    if known or known is None and self.stay_apart(last[start], token):
-                        best, found = start, token
-            if best < 0:
+            at = begun + piece[end - 1]
+            begun, tokens = ends.get(at) or self.tokens_at(at)
+            for token in tokens:
+                start = end - len(token)
+                known = apart.get((last[start], token))
+                if known or known is None and self.stay_apart(last[start], token):
+                    counts.append(counts[start] + 1)
+                    last.append(token)
+                    break
+            else:
                 raise AssertionError(f"no token ends at byte {end} of {piece!r}")
-            counts.append(counts[best] + 1)
-            last.append(found)
-            begun = alive
             if end == STEM and len(self.stems) < MOST_STEMS:
                 self.stems[piece[:STEM]] = counts[:], last[:], begun
         return counts[1:]
@@ -91,8 +97,7 @@ class PrefixCounter:
         counts = self.of_bytes(data.decode("latin-1").translate(self.letters))
         if len(data) == len(piece):
             return counts
-        ends = np.cumsum([len(c.encode()) for c in piece]) - 1
-        return [counts[i] for i in ends]
+        return [counts[end - 1] for end in accumulate(len(c.encode()) for c in piece)]
 
     def of_segment(self, text: str) -> list[int]:
         """Counts at the prefixes of a text without special tokens."""
