@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.intermediate import written
+from ..sources.shipping import ship
 from .ranking import top_per_group
 
 #: Query vectors that are held against the table in one pass, their bytes, and those that are held against a batch at once.
@@ -50,6 +51,7 @@ def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int, recall:
 
 
 def _searched(queries: DataFrame, vectors: DataFrame, k: int, most: int, centres: np.ndarray | None, probes: int) -> DataFrame:
+    ship(queries.sparkSession)
     results = []
     passes = _passes(queries, most)
     now, more = next(passes, None), next(passes, None)

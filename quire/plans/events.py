@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.intermediate import shared_folder
+from ..sources.shipping import ship
 from ..sources.tables import table
 from ..streaming import events as E
 
@@ -28,23 +30,26 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A complete-mode stream over the table, run until all that is there has been read."""
+    """A complete-mode stream over the table, run until all that is there has been read. Each batch's whole result takes the place of the last in the
+    shared folder."""
     events = spark.readStream.schema(E.SCHEMA).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     counted = events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
-    query = counted.writeStream.outputMode("complete").format("memory").queryName("quire_streamed_totals").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table("quire_streamed_totals")
+    folder = shared_folder(spark)
+    told = counted.writeStream.outputMode("complete").foreachBatch(lambda whole, _: whole.write.mode("overwrite").parquet(f"{folder}/out"))
+    told.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counted.schema).parquet(f"{folder}/out")
 
 
 def user_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grouped pandas function: each user's share of events in their busiest type."""
+    """A grouped pandas function: each user's share of events in their busiest type. Events are counted by type first, so a group has
+    a row for each type, however busy its user is."""
 
-    def profile(rows: pd.DataFrame) -> pd.DataFrame:
-        counts = rows["event_type"].value_counts()
-        top = sorted(counts[counts == counts.max()].index)[0]
-        return pd.DataFrame({"user_id": [rows["user_id"].iloc[0]], "top_type": [top], "share": [round(float(counts.max()) / len(rows), 6)]})
+    def profile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        top = rows.sort_values(["n", "event_type"], ascending=[False, True], na_position="last").iloc[0]
+        return pd.DataFrame({"user_id": [key[0]], "top_type": [top["event_type"]], "share": [round(float(top["n"]) / int(rows["n"].sum()), 6)]})
 
-    return table(spark, sf_dir, "events").select("user_id", "event_type").groupBy("user_id").applyInPandas(profile, "user_id long, top_type string, share double")
+    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return counts.groupBy("user_id").applyInPandas(profile, "user_id long, top_type string, share double")
 
 
 def scaled_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,20 +108,22 @@ def arrow_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paired_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two tables grouped together: each user's clicks beside their purchases, users of only one included."""
+    """Two tables grouped together: each user's clicks beside their purchases, users of only one included. Both are summed
+    first, so that a busy user is a row of each."""
     events = table(spark, sf_dir, "events")
-    clicked = events.where("event_type = 'click'").select("user_id", "value").groupBy("user_id")
-    bought = events.where("event_type = 'purchase'").select(F.col("user_id").alias("buyer"), F.col("value").alias("price")).groupBy("buyer")
+    clicked = events.where("event_type = 'click'").groupBy("user_id").agg(F.count("*").alias("n"))
+    bought = events.where("event_type = 'purchase'").groupBy(F.col("user_id").alias("buyer")).agg(F.count("*").alias("n"), F.sum("value").alias("spent"))
 
     def paired(key: tuple, clicks: pd.DataFrame, purchases: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": [key[0]], "clicks": [len(clicks)], "purchases": [len(purchases)], "spent": [round(float(purchases["price"].sum()), 2) if len(purchases) else 0.0]})
+        return pd.DataFrame({"user_id": [key[0]], "clicks": [int(clicks["n"].sum())], "purchases": [int(purchases["n"].sum())], "spent": [round(float(purchases["spent"].sum()), 2)]})
 
-    return clicked.cogroup(bought).applyInPandas(paired, "user_id long, clicks long, purchases long, spent double")
+    return clicked.groupBy("user_id").cogroup(bought.groupBy("buyer")).applyInPandas(paired, "user_id long, clicks long, purchases long, spent double")
 
 
 def argued_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions by a table function whose argument is a table, partitioned by user and ordered by time, in Arrow batches. A session
     that is open at the end of a batch goes on in the next, so a user's rows are never together."""
+    ship(spark)
     events = table(spark, sf_dir, "events").select("user_id", "ts")
     return _Sessions(events.asTable().partitionBy("user_id").orderBy("ts"))
 

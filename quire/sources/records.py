@@ -10,10 +10,12 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from .shipping import ship
+
 #: What a record's line has for characters that would end it, and for null.
 _ESCAPES = {"\\": "\\\\", "\n": "\\n", "\r": "\\r"}
 _PLAIN = {v[1]: k for k, v in _ESCAPES.items()}
@@ -149,12 +151,18 @@ class _Writer(DataSourceArrowWriter):
             store.delete_dir(f"{path}/{self.folder}")
 
 
+def register(spark: SparkSession) -> None:
+    """Make the format known to a session, and its code to the session's workers."""
+    ship(spark)
+    spark.dataSource.register(RecordSource)
+
+
 def write_records(texts: DataFrame, path: str) -> None:
     """Texts (one string column, or the one named text) as a folder of record files."""
-    texts.sparkSession.dataSource.register(RecordSource)
+    register(texts.sparkSession)
     texts.select(F.col("text" if "text" in texts.columns else texts.columns[0]).alias("text")).write.format("records").mode("append").option("path", path).save()
 
 
-def read_records(spark, path: str, splits: int = 4) -> DataFrame:
-    spark.dataSource.register(RecordSource)
+def read_records(spark: SparkSession, path: str, splits: int = 4) -> DataFrame:
+    register(spark)
     return spark.read.format("records").option("path", path).option("splits", splits).load()
