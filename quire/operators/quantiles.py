@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ..sources.intermediate import written
 
 
-def quantiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, key: str, value: str, shares: dict[str, float], neighbours: bool = False) -> DataFrame:
     """``key`` and a double for each name of ``shares``: the value at that share of the group's order, interpolated
     between neighbours. Null values don't count, a group without others has no row, and null is a key like any other.
+    With ``neighbours`` also ``<name>_below`` and ``<name>_above``: the values of the group that it lies between.
 
     Equal values are counted first; the counts are dealt by ranges of key and value, so that a group lies in as many
     tasks as it needs. The ranges' totals say which of them hold a wanted rank, and only those are ordered within.
@@ -39,4 +40,5 @@ def quantiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) ->
         low, high = F.col(f"_low_{name}"), F.col(f"_high_{name}")
         return F.when(low == high, low).otherwise(low + (high - low) * (place[name] - F.floor(place[name]))).alias(name)
 
-    return picked.select(key, *map(between, shares))
+    ends_of = [F.col(f"_{side}_{name}").alias(f"{name}_{end}") for name in shares for side, end in (("low", "below"), ("high", "above"))]
+    return picked.select(key, *map(between, shares), *(ends_of if neighbours else []))

@@ -43,23 +43,28 @@ def segment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def distinct_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact counts, and whether the sketches (a few kilobytes a group, whatever its size) come near them:
-    HyperLogLog, theta and KLL."""
-    exact = quantiles(table(spark, sf_dir, "events"), "event_type", "value", {"low": 0.45, "high": 0.55})
-    events = table(spark, sf_dir, "events")
-    users = F.countDistinct("user_id")
-    near = lambda estimate: F.abs(estimate - users) <= F.greatest(F.lit(1.0), BOUND * users)
+    HyperLogLog, theta, KLL and count-min. A value that is no number counts as none.
+
+    Sketches and different users are aggregated apart: beside a distinct count Spark would make each sketch by type and user first.
+    """
+    events = table(spark, sf_dir, "events").withColumn("value", F.nanvl(F.col("value").cast("double"), F.lit(None)))
+    middles = quantiles(events, "event_type", "value", {"low": 0.45, "high": 0.55}, neighbours=True).select(F.col("event_type").alias("of_middles"), "low_below", "high_above")
+    counted = events.groupBy(F.col("event_type").alias("of_users")).agg(F.countDistinct("user_id").alias("users"))
     middle = F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("value"), F.lit(0.5))
     estimated = events.groupBy("event_type").agg(
-        users.alias("users"),
         F.count("*").alias("n"),
-        near(F.approx_count_distinct("user_id", 0.02)).alias("approx_near"),
-        near(F.hll_sketch_estimate(F.hll_sketch_agg("user_id"))).alias("hll_near"),
-        near(F.theta_sketch_estimate(F.theta_sketch_agg("user_id"))).alias("theta_near"),
-        middle.alias("kll"),
+        F.approx_count_distinct("user_id", 0.02).alias("approx"),
+        F.hll_sketch_estimate(F.hll_sketch_agg("user_id")).alias("hll"),
+        F.theta_sketch_estimate(F.theta_sketch_agg("user_id")).alias("theta"),
+        F.when(F.count("value") > 0, middle).alias("kll"),
         F.percentile_approx("value", 0.5, 1000).alias("median"),
+        (F.octet_length(F.count_min_sketch("user_id", F.lit(0.01), F.lit(0.95), F.lit(42))) > 0).alias("count_min_there"),
     )
-    near_middle = lambda c: F.col(c).between(F.col("low"), F.col("high")).alias(f"{c}_near")
-    return estimated.join(exact, "event_type").select("event_type", "users", "n", "approx_near", "hll_near", "theta_near", near_middle("kll"), near_middle("median"))
+    near = lambda c: (F.abs(F.col(c) - F.col("users")) <= F.greatest(F.lit(1.0), BOUND * F.col("users"))).alias(f"{c}_near")
+    # a group without values has no middle, by the sketches or exactly
+    near_middle = lambda c: F.coalesce(F.col(c).between(F.col("low_below"), F.col("high_above")), F.col(c).isNull() & F.col("low_below").isNull()).alias(f"{c}_near")
+    found = estimated.join(counted, F.col("event_type").eqNullSafe(F.col("of_users"))).join(middles, F.col("event_type").eqNullSafe(F.col("of_middles")), "left")
+    return found.select("event_type", "users", "n", *map(near, ("approx", "hll", "theta")), *map(near_middle, ("kll", "median")), "count_min_there")
 
 
 def frequent_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +118,7 @@ SELECT r_name, g.p AS o_orderpriority, coalesce(n, 0) AS n FROM region CROSS JOI
     ),
     "distinct_estimates": (
         distinct_estimates,
-        "SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n, true AS approx_near, true AS hll_near, true AS theta_near, true AS kll_near, true AS median_near FROM events GROUP BY 1",
+        "SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n, true AS approx_near, true AS hll_near, true AS theta_near, true AS kll_near, true AS median_near, true AS count_min_there FROM events GROUP BY 1",
     ),
     "frequent_types": (frequent_types, "SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC LIMIT 3"),
     "url_parts": (
