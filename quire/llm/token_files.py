@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .frames import arrow_map, batch, columns
+from .frames import arrow_map, batch, batches_of, columns, written
 from .tokens import WORD_VOCABULARY, WordIds, per_worker
 
 END = 1
@@ -19,6 +19,8 @@ END = 1
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
 FALSE_POSITIVES = 0.01
+#: Rows that go to or from Python at once: whole texts and their ids.
+BATCH_ROWS = 500
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str = WORD_VOCABULARY, files: int | None = None, stripe_bytes: int = STRIPE_BYTES) -> None:
@@ -41,27 +43,29 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = WORD_VOCABUL
         before = 0
         for b in batches:
             doc_ids, texts = columns(b, "doc_id", "text")
-            for i in range(0, len(texts), 512):  # keeps the lists of a batch small
-                encoded = [np.append(np.frombuffer(ids_of(t or ""), np.uint32), np.uint32(END)).astype(np.int32) for t in texts[i : i + 512]]
-                sizes = list(map(len, encoded))
-                ends = list(accumulate(sizes, initial=before))
-                before = ends[-1]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(encoded)))
-                yield batch(schema, doc_ids[i : i + 512], ends[:-1], sizes, lists)
+            if not texts:
+                continue
+            encoded = [np.append(np.frombuffer(ids_of(t or ""), np.uint32), np.uint32(END)).astype(np.int32) for t in texts]
+            sizes = list(map(len, encoded))
+            ends = list(accumulate(sizes, initial=before))
+            before = ends[-1]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(encoded)))
+            yield batch(schema, doc_ids, ends[:-1], sizes, lists)
 
     # rows of one id, null ids above all, are dealt to several files by a hash and, if they are the same rows, by their number
     order = ["doc_id", "hash", "row"]
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row")).repartitionByRange(files, *order).sortWithinPartitions(*order)
-    (
-        arrow_map(rows.select("doc_id", "text"), run, "doc_id long, local_start long, n_tokens long, ids array<int>")
-        .write.option("orc.stripe.size", stripe_bytes)
-        .option("orc.row.index.stride", INDEX_ROWS)
-        .option("orc.create.index", "true")
-        .option("orc.bloom.filter.columns", "doc_id")
-        .option("orc.bloom.filter.fpp", FALSE_POSITIVES)
-        .option("orc.compress", "zstd")
-        .orc(path)
-    )
+    encoded = arrow_map(rows.select("doc_id", "text"), run, "doc_id long, local_start long, n_tokens long, ids array<int>")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        (
+            encoded.write.option("orc.stripe.size", stripe_bytes)
+            .option("orc.row.index.stride", INDEX_ROWS)
+            .option("orc.create.index", "true")
+            .option("orc.bloom.filter.columns", "doc_id")
+            .option("orc.bloom.filter.fpp", FALSE_POSITIVES)
+            .option("orc.compress", "zstd")
+            .orc(path)
+        )
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -81,11 +85,9 @@ def positions(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files.
 
     ``start`` counts the ids of all documents before: of the earlier files, one number each,
-    and of its own.
+    and of its own. The files are read at once; what is found in them lies in the shared folder.
     """
     rows = read_token_files(spark, path)
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "local_start", "n_tokens", "ids_crc32")] + [("part", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,5 +99,8 @@ def positions(spark: SparkSession, path: str) -> DataFrame:
             crcs = [zlib.crc32(data[4 * s : 4 * e]) for s, e in zip([0, *ends[:-1]], ends)]
             yield batch(schema, b.column("doc_id"), b.column("local_start"), b.column("n_tokens"), crcs, b.column("part"))
 
-    read = arrow_map(rows, run, "doc_id long, local_start long, n_tokens long, ids_crc32 long, part int")
+    with batches_of(spark, BATCH_ROWS):
+        read = written(arrow_map(rows, run, "doc_id long, local_start long, n_tokens long, ids_crc32 long, part int"), "positions")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = read.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     return read.join(firsts, "part").select("doc_id", (F.col("first") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

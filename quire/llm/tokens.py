@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 
 import regex
@@ -21,6 +22,9 @@ WORD_VOCABULARY = "word_bpe_49k.json"
 #: Chunks that a worker remembers, and the longest chunk that is worth remembering.
 CACHED_CHUNKS = 500_000
 CACHED_LENGTH = 40
+#: The same for pieces of plain texts, of which there are fewer, and for words of other texts.
+CACHED_PIECES = 200_000
+CACHED_WORDS = 200_000
 
 _BESIDE_SPACE = re.compile(f" [{SPACE}]|[{SPACE}] ")
 _CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -33,6 +37,9 @@ _PLAIN = re.compile("[\t\n\r -~\xa1-\u012f]*")
 #: The same splits where all characters are ASCII.
 _ASCII_BYTE_SPLIT = re.compile(rf"{_SUFFIXES}| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 _ASCII_WORD_SPLIT = re.compile(rf"{_SUFFIXES}|[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+", re.ASCII)
+#: The word split where all characters are plain.
+_LATIN_LETTERS, _LATIN_NUMBERS = ("".join(c for c in map(chr, range(0xA1, 0x130)) if unicodedata.category(c)[0] == kind) for kind in "LN")
+_PLAIN_WORD_SPLIT = re.compile(rf"{_SUFFIXES}|[A-Za-z{_LATIN_LETTERS}]+|[0-9{_LATIN_NUMBERS}]|[^\t\n\r A-Za-z0-9{_LATIN_LETTERS}{_LATIN_NUMBERS}]+")
 _CONTROL = re.compile("[\x1c-\x1f]")
 _ASCII_WORD = re.compile("[^\t-\r ]+")
 
@@ -58,14 +65,14 @@ def chunks(text: str) -> tuple[str, list[str]]:
 
 
 class Remembered(dict):
-    """Chunk -> what ``make`` gives for it; stops growing at ``CACHED_CHUNKS``."""
+    """Chunk -> what ``make`` gives for it; stops growing at ``most``."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most: int = CACHED_CHUNKS):
+        self.make, self.most = make, most
 
     def __missing__(self, chunk):
         value = self.make(chunk)
-        if len(self) < CACHED_CHUNKS and len(chunk) <= CACHED_LENGTH:
+        if len(self) < self.most and len(chunk) <= CACHED_LENGTH:
             self[chunk] = value
         return value
 
@@ -88,16 +95,33 @@ class ByteIds(ByChunk):
     """Little-endian unsigned 32-bit ids under a byte-level vocabulary file."""
 
     def __init__(self, name: str = BYTE_VOCABULARY):
-        super().__init__(encoder(name, BYTE_SPLIT, _ASCII_BYTE_SPLIT, lower=False))
+        super().__init__(encoder(loaded(name), BYTE_SPLIT, _ASCII_BYTE_SPLIT, lower=False))
 
 
 class WordIds:
-    """The same under a vocabulary that drops white space and folds case."""
+    """The same under a vocabulary that drops white space and folds case.
+
+    What is plain and has no special string, a text or a word of another text, is split here, and its pieces are
+    remembered: words with what stands beside them are many more. The library has all other words."""
 
     def __init__(self, name: str = WORD_VOCABULARY):
-        self.known = Remembered(encoder(name, WORD_SPLIT, _ASCII_WORD_SPLIT, lower=True))
+        library = loaded(name)
+        encode = encoder(library, WORD_SPLIT, _ASCII_WORD_SPLIT, lower=True)
+        merge, letters = library.model.tokenize, byte_letters()
+        self.specials = special_strings(library)
+        self.known = Remembered(lambda word: self.of_plain(word) if self.is_plain(word) else encode(word), CACHED_WORDS)
+        self.pieces = Remembered(lambda p: array("I", [t.id for t in merge(p.encode().decode("latin-1").translate(letters))]).tobytes(), CACHED_PIECES)
+
+    def is_plain(self, text: str) -> bool:
+        return bool(_PLAIN.fullmatch(text)) and not any(map(text.__contains__, self.specials))
+
+    def of_plain(self, text: str) -> bytes:
+        split = _ASCII_WORD_SPLIT if text.isascii() else _PLAIN_WORD_SPLIT
+        return b"".join(map(self.pieces.__getitem__, split.findall(text.lower())))
 
     def __call__(self, text: str) -> bytes:
+        if self.is_plain(text):
+            return self.of_plain(text)
         words = _ASCII_WORD.findall(text) if _CONTROL.search(text) else text.split()
         return b"".join(map(self.known.__getitem__, words))
 
@@ -109,19 +133,28 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-def encoder(name: str, split: regex.Pattern, ascii_split: re.Pattern, lower: bool):
-    """The library: text -> ids as bytes, without added special tokens.
-
-    Chunks of ASCII or Latin letters skip the library's offset bookkeeping: they are split here,
-    and its model merges the pieces. All else goes through the whole library.
-    """
+def loaded(name: str):
+    """The library of a vocabulary file, which neither cuts nor pads."""
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(vocabulary(name))
     library.no_truncation()
     library.no_padding()
+    return library
+
+
+def special_strings(library) -> list[str]:
+    return [t.content for t in library.get_added_tokens_decoder().values()]
+
+
+def encoder(library, split: regex.Pattern, ascii_split: re.Pattern, lower: bool):
+    """The library: text -> ids as bytes, without added special tokens.
+
+    Chunks of ASCII or Latin letters skip the library's offset bookkeeping: they are split here,
+    and its model merges the pieces. All else goes through the whole library.
+    """
     merge, letters = library.model.tokenize, byte_letters()
-    specials = [t.content for t in library.get_added_tokens_decoder().values()]
+    specials = special_strings(library)
 
     def encode(text: str) -> bytes:
         own = text.lower() if lower else text
