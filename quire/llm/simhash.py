@@ -134,7 +134,9 @@ def links(distinct: DataFrame, most: int = BITS, block: int = BLOCK) -> DataFram
         raise ValueError("the keys are complete up to 3 bits")
     keyed = _keyed(distinct)
     large = keyed.groupBy("key").count().where(F.col("count") > block)
-    large = large.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    # written, so that its own size is known: a key of more than a block is a rare one, while the size that Spark gives the keys, which come out
+    # of Python at 43 a fingerprint, is that of the fingerprints, and it would broadcast them all when they look smaller than the counts do
+    large = written(large.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "large")
     plain = keyed.join(large, "key", "left_anti").groupBy("key").agg(F.collect_list("fp").alias("fps"))
     plain = plain.where(F.size("fps") > 1).select("fps", F.lit(0).alias("first"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
