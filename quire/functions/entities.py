@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -57,9 +58,20 @@ def _decoded(reference: Column) -> Column:
     return F.when(reference.rlike("^&#[0-9]"), _numbered(_number(digits(3), 10, 7))).when(reference.rlike("^&#[xX]"), _numbered(_number(digits(4), 16, 6))).otherwise(named)
 
 
-def unescaped(text: Column) -> Column:
-    """The text with every character reference replaced, by the rules of HTML 5 and once: what a reference leaves is not read again."""
-    pieces, references = F.split(text, REFERENCE, -1), F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
-    decoded = F.concat(F.transform(references, _decoded), F.array(F.lit("")))
+def _replaced(text: Column, pattern: str, replacement: Callable[[Column], Column]) -> Column:
+    """The text with all that the pattern finds replaced, once: what a reference leaves is not read again."""
+    pieces, references = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    decoded = F.concat(F.transform(references, replacement), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(pieces, decoded, lambda p, d: F.concat(p, d)), "")
     return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+
+
+def unescaped(text: Column) -> Column:
+    """The text with every character reference replaced, by the rules of HTML 5."""
+    return _replaced(text, REFERENCE, _decoded)
+
+
+def unescaped_names(text: Column, *names: str) -> Column:
+    """The text with the references of these names replaced where they end in a semicolon; all else stays as it is."""
+    values = F.create_map(*[F.lit(x) for name in names for x in (f"&{name};", html5[f"{name};"])])
+    return _replaced(text, f"&(?:{'|'.join(names)});", lambda r: F.element_at(values, r))

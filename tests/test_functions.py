@@ -87,3 +87,16 @@ def test_references_as_the_standard_library_has_them(spark):
     found = {r.id: r.u for r in df.select("id", unescaped(F.col("t")).alias("u")).collect()}
     wrong = [(t, found[i], html.unescape(t)) for i, t in enumerate(texts) if found[i] != (None if t is None else html.unescape(t))]
     assert not wrong, wrong[:5]
+
+
+def test_references_cut_off_stay(spark, tmp_path):
+    from quire.plans import pages
+
+    from .oracle import compare, connection
+
+    html = ["<p>a &amp; b &quot;c&quot; &middot; &copy; x</p>", "<p>a &amp</p>", "&copy2024 &quo", "&amp;quot; &amp;amp;", "&lt;p&gt; &#65; &Amp;", "&&amp;&", "", None, "🎉&amp;é"]
+    df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    df.coalesce(1).write.parquet(str(tmp_path / "written"))
+    next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    query, sql = pages.QUERIES["unescaped_pages"]
+    assert compare(query(spark, str(tmp_path)), sql, connection(str(tmp_path))) == ""
