@@ -31,6 +31,8 @@ _SHINGLES_AT_ONCE, _HASHES_AT_ONCE = 2048, 1 << 20
 PAIRS = 2000
 #: Shingles of the texts that one row holds on either side when all pairs of a key are compared.
 BLOCK = 500_000
+#: Rows up to which a table may be broadcast to where sets are.
+FEW_ROWS = 100_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -145,6 +147,13 @@ def _sets(texts: DataFrame) -> DataFrame:
     return written(arrow_map(texts, run, "node long, hashes array<long>"), "sets")
 
 
+def _counted(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written, and merged with what it is joined to if it has many rows: Spark would size rows that an explode makes as those they come
+    from, and a table of repeated values as its small files."""
+    df = written(df, name)
+    return df if df.count() <= FEW_ROWS else df.hint("merge")
+
+
 def _rows(b: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
     """The lists of a column, without a copy."""
     lists = b.column(name)
@@ -162,7 +171,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, most: int = PAIRS) -> DataFrame
     """
     large = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > most).select("a", F.ceil(F.col("n") / most).cast("int").alias("slices"))
     dealt = pairs.join(written(large, "large"), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("slices", F.lit(1))).cast("int").alias("slice"))
-    dealt = written(dealt, "dealt")
+    dealt = _counted(dealt, "dealt")
     of_a = dealt.select("a", "slice").distinct().join(sets, F.col("a") == F.col("node")).select("a", "slice", F.lit(0).alias("kind"), "node", "hashes")
     of_b = dealt.join(sets, F.col("b") == F.col("node")).select("a", "slice", F.lit(1).alias("kind"), "node", "hashes")
     rows = of_a.unionByName(of_b).repartition("a", "slice").sortWithinPartitions("a", "slice", "kind")
@@ -245,7 +254,7 @@ def _compared(open_: DataFrame, sizes: DataFrame, sets: DataFrame, block: int) -
                 found = _forest(node, kind, left, np.split(flat, ends[:-1]))
                 yield batch(_EDGES, *(zip(*found, strict=True) if found else [[], []]))
 
-    met = _dealt(open_, sizes, block).join(sets, "node")
+    met = _counted(_dealt(open_, sizes, block), "met").join(sets, "node")
     rows = met.groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "class", "left", "hashes")).alias("members")).select("members")
     return written(arrow_map(rows, run, "a long, b long"), "compared")
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from quire.llm import simhash
+import pytest
+
+from quire.llm import similar, simhash
 from quire.llm.frames import written
 
 
@@ -28,3 +30,26 @@ def test_fuzzy_keys_are_not_broadcast(spark):
     found = simhash.links(written(spark.createDataFrame([(f,) for f in fps], "fp long"), "fps"))
     assert {frozenset(r) for r in found.collect()} == {frozenset((fps[0], fps[0] ^ 1)), frozenset((fps[1], fps[1] ^ 0b111 << 40))}
     assert not [plan for plan in _broadcasts(found) if "MapInArrow" in plan]
+
+
+@pytest.mark.parametrize("few", [100_000, 10])
+def test_rows_of_blocks_that_meet_are_counted(spark, monkeypatch, few):
+    """Members of a large key are repeated for every block that theirs meets; Spark would give them the size that they had before."""
+    monkeypatch.setattr(similar, "FEW_ROWS", few, raising=False)
+    sets = [list(range(10 * i, 10 * i + 20)) for i in range(40)] + [list(range(19))]  # the last is like the first
+    open_ = written(spark.createDataFrame([(1, i, i) for i in range(len(sets))], "key long, node long, class long"), "open")
+    of_node = written(spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "node long, hashes array<long>"), "sets")
+    sizes = of_node.selectExpr("node", "size(hashes) as size")
+    seen = {}
+
+    def seeing(df, name, f=similar.written):
+        seen[name] = df
+        return f(df, name)
+
+    monkeypatch.setattr(similar, "written", seeing)
+    assert {frozenset(r) for r in similar._compared(open_, sizes, of_node, 50).collect()} == {frozenset((0, 40))}
+    met = seen["compared"]
+    met.collect()
+    sent = _broadcasts(met)
+    assert not [plan for plan in sent if "Generate" in plan]
+    assert bool(sent) == (few > 10)
