@@ -40,12 +40,14 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def char_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(T.char_ngrams(F.col("text"), 5))).cast("long").alias("distinct_5grams"))
+    grams = F.size(F.array_distinct(T.char_ngrams(F.col("text"), 5)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNotNull(), grams).cast("long").alias("distinct_5grams"))
 
 
 def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shingles = T.shingles(T.words(F.col("text")), 5)
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(shingles).cast("long").alias("n"), F.size(F.array_distinct(shingles)).cast("long").alias("n_distinct"))
+    words = table(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("words"))
+    n = F.greatest(F.size("words") - 4, F.lit(0))
+    return words.select("doc_id", n.cast("long").alias("n"), F.size(F.array_distinct(T.shingles(F.col("words"), 5))).cast("long").alias("n_distinct"))
 
 
 def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

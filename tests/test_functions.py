@@ -100,3 +100,25 @@ def test_references_cut_off_stay(spark, tmp_path):
     next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "pages.parquet")
     query, sql = pages.QUERIES["unescaped_pages"]
     assert compare(query(spark, str(tmp_path)), sql, connection(str(tmp_path))) == ""
+
+
+def test_grams_and_shingles_of_long_texts_take_time_in_proportion(spark, tmp_path):
+    """Odd texts against the SQL, and one of 40,000 words, for which work by the square of the length would take many minutes."""
+    import time
+
+    from quire.plans import text
+
+    from .oracle import compare, connection
+
+    rows = [None, "", "abcd", "abcde", "a🎉b🎉🎉\n🎉c", "one two three four", "one two three four five", "é🎉 one Two\tthree, four five one two three four five", " ".join(f"{'abcdefgh'[i % 8]}{'xyz'[i % 3]}{'klmno'[i % 5]}" for i in range(40_000))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "written"))
+    next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    con = connection(str(tmp_path))
+    for name in ("char_ngram_counts", "shingle_counts"):
+        query, sql = text.QUERIES[name]
+        found = query(spark, str(tmp_path))
+        began = time.time()
+        found.collect()
+        assert time.time() - began < 20, name
+        assert compare(found, sql, con) == "", name
