@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -88,34 +89,58 @@ def balances(events: DataFrame) -> DataFrame:
 
 
 class Silence(StatefulProcessor):
-    """Per key: the times of events whose silence is still open, each with a timer. When the watermark has passed a time and the
-    ``seconds`` after it, no event in between can come any more; if none is among the times that are held, the key was silent."""
+    """Per key: the times of events whose silence is still open, with one timer, for the end of the first. When the watermark has passed a time and the
+    ``seconds`` after it, no event in between can come any more; if none is among the times that are held, the key was silent.
+
+    A key's times are read and put back once a batch. Of those that another follows within ``seconds`` only such are held as are after the
+    watermark: no row before them can come any more whose silence they would break."""
 
     def __init__(self, seconds: int):
         self.length = seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getMapState("times", "ms long", "n long")
+        self.times = handle.getListState("times", "ms long, n long")
+
+    def _open(self, times: dict[int, int]) -> list[int]:
+        """The times that no other follows within the length, in order."""
+        order = sorted(times)
+        return [t for t, after in zip(order, [*order[1:], None], strict=False) if after is None or after > t + self.length]
+
+    def _hold(self, times: dict[int, int], open_: list[int], watermark: int) -> None:
+        some = set(open_)
+        if held := [(ms, n) for ms, n in times.items() if ms > watermark or ms in some]:
+            self.times.put(held)
+        else:
+            self.times.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        times = dict(self.times.get())
+        before = self._open(times)[:1]
         for frame in rows:
-            for ms, n in (frame["ts"].astype("datetime64[ms]").astype("int64")).value_counts().items():
-                if self.times.containsKey((int(ms),)):
-                    n += self.times.getValue((int(ms),))[0]
-                else:
-                    self.handle.registerTimer(int(ms) + self.length)
-                self.times.updateValue((int(ms),), (int(n),))
+            for ms, n in zip(*np.unique(frame["ts"].to_numpy("datetime64[ms]").astype("int64"), return_counts=True), strict=True):
+                times[int(ms)] = times.get(int(ms), 0) + int(n)
+        open_ = self._open(times)
+        if before != open_[:1]:
+            for t in before:
+                self.handle.deleteTimer(t + self.length)
+            self.handle.registerTimer(open_[0] + self.length)
+        self._hold(times, open_, timer_values.getCurrentWatermarkInMs())
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        start = end - self.length
-        n = self.times.getValue((start,))[0]
-        broken = any(start < ms <= end for (ms,) in self.times.keys())
-        self.times.removeKey((start,))
-        if not broken:
-            yield pd.DataFrame({"user_id": [key[0]], "silent_since": [pd.Timestamp(start, unit="ms")], "events_then": [n]})
+        watermark = timerValues.getCurrentWatermarkInMs()
+        end = max(watermark, expiredTimerInfo.getExpiryTimeInMs())
+        times = dict(self.times.get())
+        open_ = self._open(times)
+        silent = [t for t in open_ if t + self.length <= end]
+        counts = [times.pop(t) for t in silent]
+        left = open_[len(silent) :]
+        self._hold(times, left, watermark)
+        if left:
+            self.handle.registerTimer(left[0] + self.length)
+        if silent:
+            yield pd.DataFrame({"user_id": [key[0]] * len(silent), "silent_since": pd.to_datetime(silent, unit="ms"), "events_then": counts})
 
     def close(self) -> None:
         pass
@@ -123,6 +148,6 @@ class Silence(StatefulProcessor):
 
 def silences(events: DataFrame, seconds: int) -> DataFrame:
     """user_id, silent_since and events_then: a row for each time (in milliseconds) at which a user had an event and then none for ``seconds``, once the
-    watermark has passed the end of that. State holds the times within ``seconds`` and the watermark's delay, as a keyed collection; it wants
-    the RocksDB state store."""
-    return events.groupBy("user_id").transformWithStateInPandas(Silence(seconds), "user_id long, silent_since timestamp, events_then long", "Append", "EventTime")
+    watermark has passed the end of that. State holds the times within ``seconds`` and the watermark's delay, as a list; it wants
+    the RocksDB state store. Rows without a time are left out."""
+    return events.select("user_id", "ts").where("ts is not null").groupBy("user_id").transformWithStateInPandas(Silence(seconds), "user_id long, silent_since timestamp, events_then long", "Append", "EventTime")

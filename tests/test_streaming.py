@@ -140,3 +140,23 @@ def test_silent_users(spark, small):
     until = max(h for _, h in rows) - 1
     assert [(u, round((t - start).total_seconds() / 3600, 6), n) for u, t, n in found] == [(u, round(h, 6), n) for u, h, n in _silences(rows, 6 * 3600, until)]
     assert len(found) > 100
+
+
+def test_silences_of_a_busy_user_take_time_in_proportion(spark, tmp_path):
+    """3000 silences of one user, the last of which ends with the watermark, another user's row without a time, and files that go back in time."""
+    import time
+
+    from .oracle import compare, connection
+
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = [(1, at(7 * i)) for i in range(3000)] + [(2, at(1)), (2, at(6)), (2, None), (3, at(7 * 2999 + 7))]
+    rows = [(i, ts, u, "click", 1.0, "{}") for i, (u, ts) in enumerate(rows)]
+    for part in (rows[1500:], rows[:1500]):
+        spark.createDataFrame(part, E.SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    began = time.time()
+    found = streams.silent_users(spark, str(tmp_path))
+    assert time.time() - began < 40
+    con = connection(str(tmp_path / "none"))
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert found.count() == 3001
+    assert compare(found, streams.QUERIES["silent_users"][1], con) == ""
